@@ -34,3 +34,21 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_token_store": op3_token_store}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import jaccard
+
+    return jaccard.similarity_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+QUERIES["op5_jaccard_join"] = op5_jaccard_join
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import substring
+
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=35)
+
+
+QUERIES["op10_substring_dedup"] = op10_substring_dedup
