@@ -52,3 +52,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_substring_dedup"] = op10_substring_dedup
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import storage, warc
+
+    folder = storage.new_folder(spark, "warc")
+    shards = warc.write(warc.with_revisits(_table(spark, sf_dir, "pages"), least_bytes=0), folder)
+    return warc.page_ids(warc.read(spark, [(f"{folder}/{name}", size) for name, size in shards], with_payload=False))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import media, storage
+
+    folder = storage.new_folder(spark, "media")
+    media.store(_table(spark, sf_dir, "documents"), folder)
+    return media.features(media.read(spark, folder))
+
+
+QUERIES |= {"op6_warc": op6_warc, "op8_media_columns": op8_media_columns}
