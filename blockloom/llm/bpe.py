@@ -36,9 +36,7 @@ class Codec:
         key = ("tiktoken", ranks_path, pattern)
         if key not in known:
             known[key] = cls(ranks_path, pattern)
-        codec = cls.__new__(cls)
-        codec.__dict__ = known[key].__dict__
-        return codec
+        return known[key]
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         encode = self.encoding.encode_ordinary

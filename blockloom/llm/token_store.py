@@ -46,10 +46,8 @@ class JsonTokenizer:
     def get(cls, path: str) -> JsonTokenizer:
         known = process_cache()
         if ("tokenizers", path) not in known:
-            known["tokenizers", path] = cls(path).__dict__
-        out = cls.__new__(cls)
-        out.__dict__ = known["tokenizers", path]
-        return out
+            known["tokenizers", path] = cls(path)
+        return known["tokenizers", path]
 
     def _one_by_one(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
