@@ -71,3 +71,18 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_warc": op6_warc, "op8_media_columns": op8_media_columns}
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import decontaminate
+
+    return decontaminate.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import pii
+
+    return pii.findings(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op2_decontamination": op2_decontamination, "op4_pii": op4_pii}
