@@ -31,6 +31,7 @@ from blockloom.llm.storage import checkpointed
 
 MAX_WORDS = 1 << 20
 LEAST_COUNT = 8
+PARITY_BITS = 512
 
 
 def frequent_words(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,11 @@ def _shingles(h: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[np.ndarra
 
 
 def signatures(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n (set size), s1 and s2 (128 bits of the set), prefix (its rarest tokens in the common order)."""
+    """key, n (set size), s1 and s2 (128 bits of the set), prefix (its rarest tokens in the common order), parity.
+
+    Bit i of ``parity`` tells whether the set has an odd number of tokens whose hash ends in i; sets differ in at least as many
+    tokens as these bits differ.
+    """
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator) -> Iterator:
@@ -90,7 +95,7 @@ def signatures(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], k: int, nu
         hasher = Hasher(lower=True)
         frequent, counts = known.value
         for batch in batches:
-            sizes, first, second, prefixes = [], [], [], []
+            sizes, first, second, prefixes, parities = [], [], [], [], []
             for _, _, h, at in hasher.documents(batch.column(text)):
                 if len(frequent):
                     i = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
@@ -109,13 +114,16 @@ def signatures(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], k: int, nu
                     p = n - -(-n * num // den) + 1 if n else 0
                     rank = least[where][i] if n > 1 else np.zeros(n, np.int64)
                     prefixes.append(unique[np.lexsort((unique, rank))[:p]].view(np.int64))
+                    odd = np.bincount((unique & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                    parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             offsets = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum([len(p) for p in prefixes], out=offsets[1:])
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[key, "n", "s1", "s2", "prefix"])
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(np.concatenate(parities) if parities else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), parity], names=[key, "n", "s1", "s2", "prefix", "parity"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, parity array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -137,9 +145,12 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataF
     return docs.select(key, text).mapInArrow(run, "id bigint, tokens array<bigint>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs ``a, b`` whose exact sets are similar enough."""
-    pairs = checkpointed(pairs)
+def verified(docs: DataFrame, pairs: DataFrame, parity: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pairs ``a, b`` whose exact sets are similar enough; pairs whose parities (id, n, parity) differ too much go first."""
+    l, r = (parity.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in ("a", "b"))
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (F.col("na") + F.col("nb") - differ) * F.lit(num + den) >= (F.col("na") + F.col("nb")) * F.lit(2 * num)
+    pairs = checkpointed(pairs.join(l, "a").join(r, "b").where(near).select("a", "b"))
     sets = checkpointed(_sets(docs, pairs.select(F.explode(F.array("a", "b"))), k, key, text))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -157,8 +168,9 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     """key, n_shingles, component_id (smallest id reachable by links, itself included) for every row of ``docs``."""
     found = checkpointed(signatures(docs, frequent_words(docs, text), k, num, den, key, text))
     full = found.where("n > 0").where(F.col(key).isNotNull()).withColumn("id", F.col(key).cast("bigint"))
-    classes = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "prefix")).alias("c")).select("n", "s1", "s2", F.col("c.id").alias("rep"), F.col("c.prefix").alias("prefix"))
+    classes = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "prefix", "parity")).alias("c")).select("n", "s1", "s2", F.col("c.id").alias("rep"), F.col("c.prefix").alias("prefix"), F.col("c.parity").alias("parity"))
     classes = checkpointed(classes.withColumn("g", F.xxhash64("n", "prefix")))
+    parity = classes.select(F.col("rep").alias("id"), "n", "parity")
     groups = classes.groupBy("n", "g").agg(F.min(F.struct("rep", "prefix")).alias("c")).select("n", "g", F.col("c.rep").alias("gid"), F.col("c.prefix").alias("prefix"))
     groups = checkpointed(groups)
     members = checkpointed(classes.select("n", "g", "rep").join(groups.select("n", "g", "gid"), ["n", "g"]).select("gid", "rep"))
@@ -170,7 +182,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     l, r = postings.where("gid = head").alias("l"), postings.where("gid <> head").alias("r")
     stars = l.join(r, F.col("l.token") == F.col("r.token")).where(_may_match(num, den)).select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b"))
     stars = stars.unionByName(members.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct()
-    first = verified(docs, stars, k, num, den, key, text)
+    first = verified(docs, stars, parity, k, num, den, key, text)
 
     labels = components(first)
     members = checkpointed(members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("component")))
@@ -184,7 +196,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     inside = spread.where("lo <> hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     x, y = (members.select(F.col("gid").alias(g), F.col("rep").alias(a), F.col("component").alias(c)) for g, a, c in (("g", "a", "ca"), ("h", "b", "cb")))
     rest = pairs.unionByName(inside).distinct().join(x, "g").join(y, "h").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = verified(docs, rest, k, num, den, key, text)
+    second = verified(docs, rest, parity, k, num, den, key, text)
 
     labels = components(first.unionByName(second))
     by_class = classes.select("n", "s1", "s2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
