@@ -131,8 +131,11 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return all_spans(docs, key=key, text=text).select(key, *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with each span of its text replaced by its kind in brackets; of overlapping spans the first is named."""
+def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with each span of its text replaced by its kind in brackets; of overlapping spans the first is named.
+
+    A column ``length`` of changed texts is set anew.
+    """
     spans = all_spans(docs, key=key, text=text).where(F.size("spans") > 0).select("row", "spans").dropDuplicates(["row"])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     body = F.col(f"__doc.{text}")
@@ -145,4 +148,8 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     new = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["pos"] + 1, F.length(body))))
     rows = docs.select(F.struct("*").alias("__doc"), F.xxhash64(key, text).alias("__row"))
     joined = rows.join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left")
-    return joined.select(*(F.when(F.col("__spans").isNotNull(), new).otherwise(body).alias(c) if c == text else F.col(f"__doc.{c}").alias(c) for c in docs.columns))
+    with_new = joined.select("__doc", F.when(F.col("__spans").isNotNull(), new).alias("__new"))
+    kept = {text: F.coalesce("__new", body)}
+    if length in docs.columns:
+        kept[length] = F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema[length].dataType)).otherwise(F.col(f"__doc.{length}"))
+    return with_new.select(*(kept.get(c, F.col(f"__doc.{c}")).alias(c) for c in docs.columns))

@@ -108,3 +108,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_toxicity": op9_toxicity}
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import quality
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(_remainder(3) != 1), "quality")
+    scores = quality.scored(docs.select("doc_id", "text"), model)
+    return scores.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES |= {"op7_quality_rules": op7_quality_rules}

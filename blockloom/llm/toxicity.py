@@ -1,8 +1,8 @@
 """Toxicity by two interpolated Kneser-Ney models over runs of ORDER bytes, one of toxic and one of ordinary texts.
 
-The longest runs have counts of their own class, with absolute discounts. What these leave goes to the shorter runs, whose
-continuation counts both classes share, so an expression that is rare in one class falls back on the same estimate in both. The
-difference of the two log-likelihoods is divided by the length: of the whole text, and of its WINDOWS-byte windows at their
+Runs of more than SHARED bytes have counts of their own class (continuation counts below ORDER), with absolute discounts. What
+these leave goes on to shorter runs and at last to those of SHARED bytes, whose continuation counts both classes share, so an
+expression that is rare in one class falls back on the same estimate in both. The difference of the two log-likelihoods is divided by the length: of the whole text, and of its WINDOWS-byte windows at their
 highest. A logistic function of these makes the score.
 
 Runs are counted over all labelled training rows, so the counts grow with the input. The model that is broadcast holds at most
@@ -25,6 +25,7 @@ from blockloom.llm.hashing import mix, text_buffer
 from blockloom.llm.storage import checkpointed
 
 ORDER = 6
+SHARED = 2
 WINDOWS = (16, 48)
 MODEL_ROWS = 1 << 20
 CALIBRATION = 20_000
@@ -90,24 +91,17 @@ def counts(labelled: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, sum of values, number of values above zero."""
-    unique, at = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(at, values, len(unique)), np.bincount(at, values > 0, len(unique))
+def _level(keys: np.ndarray, count: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probability of each key's last byte after the others; the contexts, and the share that each leaves to shorter runs."""
+    contexts, at = np.unique(keys >> 8, return_inverse=True)
+    total, kinds = np.bincount(at, count, len(contexts)), np.bincount(at, count > 0, len(contexts))
+    left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+    own = np.where(total[at] > 0, np.maximum(count - DISCOUNT, 0) / np.maximum(total[at], 1), 0)
+    return own + left[at] * below, contexts, left
 
 
-def _shared(distinct: np.ndarray) -> np.ndarray:
-    """Interpolated continuation probability of the last ORDER - 1 bytes of each run: shared by both classes."""
-    below = np.full(len(distinct), 1 / 256)
-    for n in range(1, ORDER):
-        wider = np.unique(distinct & ((1 << 8 * (n + 1)) - 1))
-        own, count, _ = _grouped(wider & ((1 << 8 * n) - 1), np.ones(len(wider)))
-        context, total, kinds = _grouped(own >> 8, count)
-        mine = distinct & ((1 << 8 * n) - 1)
-        c = count[np.searchsorted(own, mine)]
-        at = np.searchsorted(context, mine >> 8)
-        below = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds[at] * below) / total[at]
-    return below
+def _mask(n: int) -> int:
+    return (1 << 8 * n) - 1
 
 
 class Table:
@@ -140,29 +134,46 @@ class Table:
 
 
 class Model:
-    """Log-likelihood ratios: of every known run, and of contexts whose continuation neither class knows."""
+    """Log-likelihood ratios of the known runs of SHARED + 1 to ORDER bytes, and of what their contexts leave to shorter runs."""
 
     def __init__(self, run: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        shared = _shared(run) if len(run) else np.empty(0)
-        logs, rest = [], []
-        contexts = np.unique(run >> 8)
-        at = np.searchsorted(contexts, run >> 8)
-        for count in (toxic.astype(np.float64), ordinary.astype(np.float64)):
-            total, kinds = np.bincount(at, count, len(contexts)), np.bincount(at, count > 0, len(contexts))
-            left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            logs.append(np.log(np.where(total[at] > 0, np.maximum(count - DISCOUNT, 0) / np.maximum(total[at], 1), 0) + left[at] * shared))
-            rest.append(np.log(left))
-        self.known, self.contexts = Table(run, logs[0] - logs[1]), Table(contexts, rest[0] - rest[1])
+        run, order = np.sort(run), np.argsort(run)
+        keys, ends = {ORDER: run}, {}
+        for n in range(ORDER - 1, 0, -1):
+            keys[n], ends[n] = np.unique(keys[n + 1] & _mask(n), return_inverse=True)
+
+        def continuations(top: np.ndarray) -> dict[int, np.ndarray]:
+            found = {ORDER: top.astype(np.float64)}
+            for n in range(ORDER - 1, 0, -1):
+                found[n] = np.bincount(ends[n], found[n + 1] > 0, len(keys[n])).astype(np.float64)
+            return found
+
+        both = continuations(np.ones(len(run)))
+        shared = np.full(len(keys[1]), 1 / 256)
+        for n in range(1, SHARED + 1):
+            shared = _level(keys[n], both[n], shared if n == 1 else shared[ends[n - 1]])[0]
+        below, counted = [shared, shared], [continuations(toxic[order]), continuations(ordinary[order])]
+        self.known, self.rest = {}, {}
+        for n in range(SHARED + 1, ORDER + 1):
+            (below[0], contexts, left), (below[1], _, also) = (_level(keys[n], counted[c][n], below[c][ends[n - 1]]) for c in (0, 1))
+            self.known[n] = Table(keys[n], np.log(below[0]) - np.log(below[1]))
+            self.rest[n] = Table(contexts, np.log(left) - np.log(also))
 
     def ratios(self, b: np.ndarray) -> np.ndarray:
         """log P(toxic) - log P(ordinary) of each byte from the ORDER-th on."""
         found = []
         for at in range(0, len(b) - ORDER + 1, BLOCK):
             x = runs(b[at : at + BLOCK + ORDER - 1])
-            value, known = self.known.find(x)
-            (new,) = np.nonzero(~known)
-            rest, seen = self.contexts.find(x[new] >> 8)
-            value[new] = np.where(seen, rest, 0)
+            value, open_ = np.zeros(len(x), np.float32), np.arange(len(x))
+            for n in range(ORDER, SHARED, -1):
+                here = x[open_] & _mask(n)
+                ratio, known = self.known[n].find(here)
+                value[open_[known]] += ratio[known]
+                open_, here = open_[~known], here[~known]
+                if not len(open_):
+                    break
+                rest, seen = self.rest[n].find(here >> 8)
+                value[open_] += np.where(seen, rest, 0)
             found.append(value)
         return np.concatenate(found) if found else np.empty(0, np.float32)
 
