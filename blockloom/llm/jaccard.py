@@ -5,12 +5,14 @@ of the shingle's rarest word, then by hash. Two sets with a Jaccard similarity o
 first n - ceil(n * num / den) + 1 tokens, their prefix. The steps:
 
 1. documents with equal sets fall into one class, classes with equal prefix and size into one group;
-2. every prefix token links its groups to one of them, the head; these pairs are verified on the exact sets;
-3. the links found give components; group pairs that share a token, pass the size and position filters and are not yet in one
-   component are expanded into their members and verified.
+2. groups that share a prefix token and pass the size and position filters are candidates; a token of more than SMALL groups
+   only pairs each of them with one, its head. Of a pair of groups the first members meet, of each group every member meets the
+   first. These pairs are verified, by parity bitmaps and then on the exact sets;
+3. the links found give components; group pairs of the larger tokens and all group pairs with more members are expanded, and the
+   members that are not yet in one component are verified too.
 
-Step 3 covers every pair that step 2 did not, so no component is missed; copies of one text meet only their head, so large
-groups cost no pairs. Only counts of frequent words are broadcast: at most MAX_WORDS of them, whatever the input.
+Step 3 covers every pair that step 2 left, so no component is missed; copies of one text meet only their head, so large groups
+cost few pairs. Only counts of frequent words are broadcast: at most MAX_WORDS of them, whatever the input.
 
 Null and empty texts have an empty set and are linked with nothing. A text of fewer than k words has one shingle, all of it.
 Repeated rows give repeated results; rows with one id count as one document. Rows with a null id get themselves a null component.
@@ -32,6 +34,8 @@ from blockloom.llm.storage import checkpointed
 MAX_WORDS = 1 << 20
 LEAST_COUNT = 8
 PARITY_BITS = 512
+#: Tokens of up to so many groups are paired at once; larger ones go by their head first. Both ways find the same components.
+SMALL = 8
 
 
 def frequent_words(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +86,7 @@ def _shingles(h: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[np.ndarra
 
 
 def signatures(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n (set size), s1 and s2 (128 bits of the set), prefix (its rarest tokens in the common order), parity.
+    """key, n (set size), s1 and s2 (128 bits of the set), g (hash of the prefix), prefix (its rarest tokens in the common order), parity.
 
     Bit i of ``parity`` tells whether the set has an odd number of tokens whose hash ends in i; sets differ in at least as many
     tokens as these bits differ.
@@ -95,7 +99,7 @@ def signatures(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], k: int, nu
         hasher = Hasher(lower=True)
         frequent, counts = known.value
         for batch in batches:
-            sizes, first, second, prefixes, parities = [], [], [], [], []
+            sizes, first, second, prefixes, parities, alike = [], [], [], [], [], []
             for _, _, h, at in hasher.documents(batch.column(text)):
                 if len(frequent):
                     i = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
@@ -114,16 +118,17 @@ def signatures(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], k: int, nu
                     p = n - -(-n * num // den) + 1 if n else 0
                     rank = least[where][i] if n > 1 else np.zeros(n, np.int64)
                     prefixes.append(unique[np.lexsort((unique, rank))[:p]].view(np.int64))
+                    alike.append(int(sequences(prefixes[-1].view(np.uint64), p)[0].view(np.int64)) if p else 0)
                     odd = np.bincount((unique & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
                     parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             offsets = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum([len(p) for p in prefixes], out=offsets[1:])
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
             parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(np.concatenate(parities) if parities else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), parity], names=[key, "n", "s1", "s2", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(alike, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), parity], names=[key, "n", "s1", "s2", "g", "prefix", "parity"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, parity array<bigint>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n bigint, s1 bigint, s2 bigint, g bigint, prefix array<bigint>, parity array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -164,42 +169,68 @@ def _may_match(num: int, den: int):
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (most * (num + den) >= (n + m) * num)
 
 
+def _postings(groups: DataFrame) -> DataFrame:
+    """token, gid, n, pos, head, small of the prefix tokens that at least two groups have.
+
+    Tokens are counted first; a Bloom filter of the repeated ones then keeps most of the others from being shuffled again.
+    """
+    counts = groups.select("gid", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("gid").alias("head"))
+    heads = checkpointed(counts.where("c > 1").select("token", "head", (F.col("c") <= SMALL).alias("small")))
+    repeated = groups.sparkSession.sparkContext.broadcast(build(heads.select("token")))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            prefix = batch.column("prefix")
+            offsets = prefix.offsets.to_numpy()
+            tokens = prefix.values.to_numpy()[offsets[0] : offsets[-1]]
+            rows = np.repeat(np.arange(len(prefix)), np.diff(offsets))
+            keep = member(repeated.value, tokens)
+            rows, tokens, pos = rows[keep], tokens[keep], (np.arange(len(tokens)) - (offsets - offsets[0])[rows])[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), batch.column("gid").take(pa.array(rows)), batch.column("n").take(pa.array(rows)).cast(pa.int32()), pa.array(pos.astype(np.int32))], names=["token", "gid", "n", "pos"])
+
+    return checkpointed(groups.select("gid", "n", "prefix").mapInArrow(run, "token bigint, gid bigint, n int, pos int").join(heads, "token"))
+
+
 def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest id reachable by links, itself included) for every row of ``docs``."""
     found = checkpointed(signatures(docs, frequent_words(docs, text), k, num, den, key, text))
     full = found.where("n > 0").where(F.col(key).isNotNull()).withColumn("id", F.col(key).cast("bigint"))
-    classes = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "prefix", "parity")).alias("c")).select("n", "s1", "s2", F.col("c.id").alias("rep"), F.col("c.prefix").alias("prefix"), F.col("c.parity").alias("parity"))
-    classes = checkpointed(classes.withColumn("g", F.xxhash64("n", "prefix")))
-    parity = classes.select(F.col("rep").alias("id"), "n", "parity")
-    groups = classes.groupBy("n", "g").agg(F.min(F.struct("rep", "prefix")).alias("c")).select("n", "g", F.col("c.rep").alias("gid"), F.col("c.prefix").alias("prefix"))
-    groups = checkpointed(groups)
-    members = checkpointed(classes.select("n", "g", "rep").join(groups.select("n", "g", "gid"), ["n", "g"]).select("gid", "rep"))
-
-    postings = groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    heads = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("gid").alias("head")).where("c > 1").select("token", "head")
-    postings = checkpointed(postings.join(heads, "token"))
-
-    l, r = postings.where("gid = head").alias("l"), postings.where("gid <> head").alias("r")
+    classes = checkpointed(full.groupBy("n", "s1", "s2", "g").agg(F.min("id").alias("rep")))
+    members = classes.join(classes.groupBy("n", "g").agg(F.min("rep").alias("gid")), ["n", "g"])
+    members = checkpointed(members.select("n", "s1", "s2", "gid", "rep"))
+    parity = full.select("id", "n", "parity")
+    groups = full.select("id", "n", "prefix").join(members.where("gid = rep").select(F.col("gid").alias("id"), "n"), ["id", "n"]).withColumnRenamed("id", "gid").dropDuplicates(["gid", "n"])
+
+    postings = _postings(groups)
+    l, r = postings.where("small").alias("l"), postings.where("small").alias("r")
+    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid"))).where(_may_match(num, den)).select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b"))
+    l, r = postings.where("not small and gid = head").alias("l"), postings.where("not small and gid <> head").alias("r")
     stars = l.join(r, F.col("l.token") == F.col("r.token")).where(_may_match(num, den)).select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b"))
-    stars = stars.unionByName(members.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct()
-    first = verified(docs, stars, parity, k, num, den, key, text)
+    inside = members.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    pairs = checkpointed(pairs.distinct())
+    first = verified(docs, pairs.unionByName(stars).unionByName(inside).distinct(), parity, k, num, den, key, text)
 
     labels = components(first)
-    members = checkpointed(members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("component")))
-    spread = members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    left = postings.join(spread, "gid").select("token", "gid", "n", "pos", "lo", "hi")
+    members = checkpointed(members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", "gid", "rep", F.coalesce("component", "rep").alias("component")))
+    spread = checkpointed(members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")))
+    left = postings.where("not small").join(spread, "gid").select("token", "gid", "n", "pos", "lo", "hi")
     open_tokens = left.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("token")
     left = checkpointed(left.join(open_tokens, "token"))
     l, r = left.alias("l"), left.alias("r")
     apart = (F.col("l.lo") != F.col("l.hi")) | (F.col("r.lo") != F.col("r.hi")) | (F.col("l.lo") != F.col("r.lo"))
-    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & apart).where(_may_match(num, den)).select(F.col("l.gid").alias("g"), F.col("r.gid").alias("h"))
+    large = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & apart).where(_may_match(num, den)).select(F.col("l.gid").alias("g"), F.col("r.gid").alias("h"))
+    crowds = spread.where("size > 1").select("gid")
+    wide = pairs.join(crowds.withColumnRenamed("gid", "a"), "a", "left_semi").unionByName(pairs.join(crowds.withColumnRenamed("gid", "b"), "b", "left_semi").select("a", "b"))
+    pairs = large.unionByName(wide.select(F.col("a").alias("g"), F.col("b").alias("h")))
     inside = spread.where("lo <> hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     x, y = (members.select(F.col("gid").alias(g), F.col("rep").alias(a), F.col("component").alias(c)) for g, a, c in (("g", "a", "ca"), ("h", "b", "cb")))
     rest = pairs.unionByName(inside).distinct().join(x, "g").join(y, "h").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = verified(docs, rest, parity, k, num, den, key, text)
 
     labels = components(first.unionByName(second))
-    by_class = classes.select("n", "s1", "s2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    by_class = members.select("n", "s1", "s2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = found.select(key, "n", "s1", "s2").join(by_class, ["n", "s1", "s2"], "left")
     own = F.when(F.col(key).isNotNull(), F.coalesce(F.col("component"), F.col(key).cast("bigint")))
     return out.select(key, F.col("n").alias("n_shingles"), own.alias("component_id"))
