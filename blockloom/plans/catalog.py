@@ -340,13 +340,13 @@ def count_similarity(spark, sf_dir):
     return C.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score.count_similarity(F.col("l_partkey"), F.col("l_suppkey")).alias("similarity"))
 
 
-_STRUCTURE = """counts as (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.p, 0) as ap, coalesce(b.p, 0) as bp, coalesce(a.t, 0) as at, coalesce(b.t, 0) as bt
+_STRUCTURE = """counts as (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.p, 0) as ap, coalesce(b.p, 0) as bp, coalesce(a.t, 0) as ta, coalesce(b.t, 0) as tb
   from (select doc_id, count(*) filter (type = 'paragraph') as p, count(*) filter (type = 'table') as t from blocks group by doc_id) a
   full join (select doc_id, count(*) filter (type = 'paragraph') as p, count(*) filter (type = 'table') as t from blocks2 group by doc_id) b on a.doc_id = b.doc_id),
 h as (select coalesce(a.doc_id, b.doc_id) as doc_id, count(*) filter (a.level is not distinct from b.level) * 100.0::double / count(*) as share
   from (select doc_id, level, row_number() over (partition by doc_id order by pos) as i from blocks where type = 'heading') a
   full join (select doc_id, level, row_number() over (partition by doc_id order by pos) as i from blocks2 where type = 'heading') b on a.doc_id = b.doc_id and a.i = b.i group by 1),
-structure as (select doc_id, 0.3::double * coalesce(share, 100) + 0.3::double * (1 - abs(ap - bp)::double / greatest(ap, bp, 1)) * 100 + 0.2::double * 100 + 0.2::double * (1 - abs(at - bt)::double / greatest(at, bt, 1)) * 100 as structure from counts left join h using (doc_id))"""
+structure as (select doc_id, 0.3::double * coalesce(share, 100) + 0.3::double * (1 - abs(ap - bp)::double / greatest(ap, bp, 1)) * 100 + 0.2::double * 100 + 0.2::double * (1 - abs(ta - tb)::double / greatest(ta, tb, 1)) * 100 as structure from counts left join h using (doc_id))"""
 
 
 @query(f"with {C.BOTH_SQL}, {_STRUCTURE} select doc_id, round(structure, 6) as structure from structure")
