@@ -41,7 +41,8 @@ class PieceEncoder:
 
     def _known(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of the pieces with their leading space."""
-        new = list(pieces - self.cache.keys())
+        cached = self.cache
+        new = [p for p in pieces if p not in cached]
         found = dict(zip(new, self.encode_pieces([" " + p for p in new]), strict=True)) if new else {}
         room = CACHED_PIECES - len(self.cache)
         if room > len(found):

@@ -54,19 +54,23 @@ class JsonTokenizer:
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Pieces that start with one space and end in another character are encoded joined, then cut by their bytes."""
-        joined = [p for p in pieces if p[:1] == " " and not p[-1].isspace()]
-        out = {}
-        if len(joined) > 1:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(p.encode()) for p in joined])
-            at = np.cumsum(self.lengths[ids])
-            cut = np.searchsorted(at, ends) + 1
-            if len(at) and at[-1] == ends[-1] and np.array_equal(at[cut - 1], ends):
-                raw, starts = ids.tobytes(), [0, *cut[:-1].tolist()]
-                out = {p: raw[4 * a : 4 * b] for p, a, b in zip(joined, starts, cut.tolist(), strict=True)}
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, self._one_by_one(rest), strict=True))
-        return [out[p] for p in pieces]
+        joined = [p for p in pieces if p[0] == " " and not p[-1].isspace()] if all(pieces) else []
+        if len(joined) != len(pieces):
+            return self._apart(pieces, joined)
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in joined])
+        at = np.cumsum(self.lengths[ids])
+        cut = np.searchsorted(at, ends) + 1
+        if not len(at) or at[-1] != ends[-1] or not np.array_equal(at[cut - 1], ends):
+            return self._one_by_one(pieces)
+        raw, last = ids.tobytes(), (4 * cut).tolist()
+        return [raw[a:z] for a, z in zip([0, *last], last, strict=False)]
+
+    def _apart(self, pieces: list[str], joined: list[str]) -> list[bytes]:
+        known = dict(zip(joined, self._encode(joined), strict=True)) if joined else {}
+        rest = [p for p in pieces if p not in known]
+        known.update(zip(rest, self._one_by_one(rest), strict=True))
+        return [known[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return list(self.encoder.encode(texts))
