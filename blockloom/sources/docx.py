@@ -1,7 +1,6 @@
 """Word files as tables, and tables as Word files.
 
 ``elements`` scans files once, in Arrow batches; blocks, sections, styles, notes and headers are expressions and windows over it.
-A Python data source of the same scan is registered as ``docx``.
 """
 
 from __future__ import annotations
