@@ -33,7 +33,7 @@ from blockloom.llm.storage import checkpointed
 
 MAX_WORDS = 1 << 20
 LEAST_COUNT = 8
-PARITY_BITS = 512
+LEAST_PARITY_BITS = 512
 #: Tokens of up to so many groups are paired at once; larger ones go by their head first. Both ways find the same components.
 SMALL = 8
 
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], k: int, nu
     """key, n (set size), s1 and s2 (128 bits of the set), g (hash of the prefix), prefix (its rarest tokens in the common order), parity.
 
     Bit i of ``parity`` tells whether the set has an odd number of tokens whose hash ends in i; sets differ in at least as many
-    tokens as these bits differ.
+    tokens as these bits differ. There are as many bits as tokens, rounded up to a power of two.
     """
     known = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -119,12 +119,15 @@ def signatures(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], k: int, nu
                     rank = least[where][i] if n > 1 else np.zeros(n, np.int64)
                     prefixes.append(unique[np.lexsort((unique, rank))[:p]].view(np.int64))
                     alike.append(int(sequences(prefixes[-1].view(np.uint64), p)[0].view(np.int64)) if p else 0)
-                    odd = np.bincount((unique & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                    bits = max(LEAST_PARITY_BITS, 1 << (n - 1).bit_length()) if n else LEAST_PARITY_BITS
+                    odd = np.bincount((unique & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                     parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             offsets = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum([len(p) for p in prefixes], out=offsets[1:])
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
-            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(np.concatenate(parities) if parities else np.empty(0, np.int64)))
+            parity_at = np.zeros(len(sizes) + 1, np.int32)
+            np.cumsum([len(p) for p in parities], out=parity_at[1:])
+            parity = pa.ListArray.from_arrays(pa.array(parity_at), pa.array(np.concatenate(parities) if parities else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(alike, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), parity], names=[key, "n", "s1", "s2", "g", "prefix", "parity"])
 
     kind = dict(docs.dtypes)[key]
@@ -153,7 +156,11 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataF
 def verified(docs: DataFrame, pairs: DataFrame, parity: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs ``a, b`` whose exact sets are similar enough; pairs whose parities (id, n, parity) differ too much go first."""
     l, r = (parity.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in ("a", "b"))
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    half = lambda p: F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(p) / 2, F.lit(1)).cast("int")), F.slice(p, (F.size(p) / 2).cast("int") + 1, F.size(p)), lambda x, y: x.bitwiseXOR(y))
+    longer = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
+    pa, pb = longer(F.col("pa"), F.col("pb")), longer(F.col("pb"), F.col("pa"))
+    counted = F.aggregate(F.zip_with(pa, pb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    differ = F.when(F.size("pa").between(F.size("pb") / 2, F.size("pb") * 2), counted).otherwise(0)
     near = (F.col("na") + F.col("nb") - differ) * F.lit(num + den) >= (F.col("na") + F.col("nb")) * F.lit(2 * num)
     pairs = checkpointed(pairs.join(l, "a").join(r, "b").where(near).select("a", "b"))
     sets = checkpointed(_sets(docs, pairs.select(F.explode(F.array("a", "b"))), k, key, text))
