@@ -75,13 +75,13 @@ def _now() -> str:
 
 def extract(a: argparse.Namespace) -> int:
     spark = _spark()
-    found = docx.elements(docx.files(spark, os.path.abspath(_need(a.input)), glob="*")).cache()
+    found = docx.elements(docx.files(spark, os.path.abspath(_need(a.input)), glob="*"))
     if bad := found.where("tag = 'error'").first():
         raise Invalid(bad["error"])
     out = a.output or os.path.splitext(a.input)[0] + (container.ZIP_SUFFIX if a.pack else container.DIRECTORY_SUFFIX)
     if os.path.exists(out) and not a.force:
         raise FileExistsError(out)
-    blocks = docx.blocks(found, a.track_changes).cache()
+    blocks = docx.blocks(found, a.track_changes)
     stem = os.path.basename(out).rpartition(".")[0]
     keyed = lambda df: df.drop("path").withColumn("doc_id", F.lit(stem))
     source_hash = docx.files(spark, os.path.abspath(a.input), glob="*").select(F.sha2("content", 256)).first()[0]
@@ -100,7 +100,7 @@ def build(a: argparse.Namespace) -> int:
     content = container.texts(members).where("name = 'content.md'").select(F.lit(1).alias("doc_id"), F.lit(1).alias("version"), F.col("text").alias("content_md"))
     assets = members.where("safe and name like 'assets/%'").select(F.col("name").alias("image_path"), F.col("bytes").alias("asset"))
     blocks = parse.parse_blocks(content).join(assets, "image_path", "left")
-    row = docx_writer.build(blocks, date=_now()).first()
+    row = docx_writer.build(blocks, date=_now(), notes=parse.footnote_definitions(content)).first()
     if row is None:
         raise FileNotFoundError("content.md")
     out = a.output or os.path.splitext(a.input.rstrip("/"))[0] + ".docx"
@@ -112,7 +112,7 @@ def build(a: argparse.Namespace) -> int:
 
 def _changes(a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
     old, new = _versions(_spark(), a.input)
-    return old, new, match.diff(old, new, match.match_blocks(old, new, cli_compat=a.compat)).cache()
+    return old, new, match.diff(old, new, match.match_blocks(old, new, cli_compat=a.compat))
 
 
 def diff(a: argparse.Namespace) -> int:
@@ -157,7 +157,7 @@ def sync(a: argparse.Namespace) -> int:
 
 def check(a: argparse.Namespace) -> int:
     spark = _spark()
-    members = _members(spark, a.input).cache()
+    members = _members(spark, a.input)
     boxes = container.containers(members).withColumn("doc_id", F.lit(1))
     problems = [f"missing {n}" for r in validate.missing_files(boxes).toLocalIterator() for n in r["missing"]]
     problems += [r["error"] for r in members.where("error is not null").select("error").toLocalIterator()]

@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from blockloom.functions import text as T
 
@@ -19,7 +20,7 @@ def ratio(old: str | None, new: str | None) -> float:
     return SequenceMatcher(None, old or "", new or "").ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([ratio(a, b) for a, b in zip(old, new, strict=True)], dtype="float64")
 
@@ -42,7 +43,7 @@ def segments(text: str | None) -> list[dict]:
     return [{"kind": k, "text": t} for k, t in out or [("text", text)]]
 
 
-@F.pandas_udf("array<struct<kind:string,text:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType())])))
 def critic_segments(text: pd.Series) -> pd.Series:
     return text.map(segments)
 
@@ -113,7 +114,7 @@ def runs(text: str | None) -> list[dict]:
     return out or [{"text": text, "bold": False, "italic": False}]
 
 
-_RUNS = "array<struct<text:string,bold:boolean,italic:boolean>>"
+_RUNS = ArrayType(StructType([StructField("text", StringType()), StructField("bold", BooleanType()), StructField("italic", BooleanType())]))
 
 
 @F.pandas_udf(_RUNS)
@@ -130,7 +131,7 @@ def inline_runs(text):
 def token_counter(encode):
     """A token-count column function around any ``encode(text) -> sequence``; empty texts count 0."""
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(LongType())
     def count(text: pd.Series) -> pd.Series:
         return text.map(lambda t: len(encode(t)) if t else 0).astype("int64")
 

@@ -41,10 +41,12 @@ def match_edited(old: DataFrame, new: DataFrame, unchanged: DataFrame, threshold
     right = _side(new, "new").join(unchanged.select("doc_id", "new_pos"), ["doc_id", "new_pos"], "left_anti")
     if cli_compat:
         left = left.withColumn("old_content", F.lit(""))
-    met = left.join(right, (left.doc_id == right.doc_id) & (left.old_pos == right.new_pos) & (left.old_type == right.new_type)).drop(right.doc_id)
+    keyed = [df.withColumn("__pos", F.col(f"{n}_pos")).withColumn("__type", F.col(f"{n}_type")) for n, df in (("old", left), ("new", right))]
+    met = keyed[0].join(keyed[1], ["doc_id", "__pos", "__type"]).drop("__pos", "__type")
     a, b = F.length("old_content"), F.length("new_content")
     bound = F.when(a + b == 0, 1.0).otherwise(2 * F.least(a, b) / F.greatest(a + b, F.lit(1)))
-    return met.where(bound >= threshold).withColumn("similarity", similarity("old_content", "new_content")).where(F.col("similarity") >= threshold).drop("similarity")
+    columns = unchanged.columns
+    return met.where(bound >= threshold).withColumn("similarity", similarity("old_content", "new_content")).where(F.col("similarity") >= threshold).select(*columns)
 
 
 def match_blocks(old: DataFrame, new: DataFrame, **options) -> DataFrame:

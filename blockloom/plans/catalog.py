@@ -442,13 +442,14 @@ def rebuild_markdown(spark, sf_dir):
     return parse.rebuild_markdown(_blocks(spark, sf_dir)).select("doc_id", F.sha2("content_md", 256).alias("rebuilt"))
 
 
-_STYLES = "st as (select l_orderkey as doc_id, l_linenumber::bigint as pos, l_returnflag = 'N' as item from lineitem)"
+_STYLES = "st as (select user_id as doc_id, event_id as pos, event_id % 3 <> 0 as item from events)"
 
 
 @query(f"with {_STYLES}, g as (select *, sum((not item)::int) over (partition by doc_id order by pos) as run from st) select doc_id, pos, case when item then sum(item::int) over (partition by doc_id, run order by pos) end::bigint as number from g")
 def list_numbering(spark, sf_dir):
-    style = F.when(F.col("l_returnflag") == "N", "List Number").otherwise("Normal")
-    rows = C.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).cast("bigint").alias("version"), F.col("l_linenumber").alias("pos"), style.alias("type"))
+    """A user's events as list items, a third of them as plain paragraphs between."""
+    style = F.when(F.col("event_id") % 3 != 0, "List Number").otherwise("Normal")
+    rows = C.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.lit(1).cast("bigint").alias("version"), F.col("event_id").alias("pos"), style.alias("type"))
     return parse.list_numbers(rows).select("doc_id", "pos", "number")
 
 

@@ -12,8 +12,8 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.functions import inline
 from blockloom.functions import text as T
+from blockloom.functions.inline import runs, segments
 
 _NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -36,11 +36,11 @@ class _Document:
         return f"<w:r>{f'<w:rPr>{props}</w:rPr>' if props else ''}{body}</w:r>" if text else ""
 
     def emphasised(self, text: str) -> str:
-        return "".join(self.run(x["text"], x["bold"], x["italic"]) for x in inline.runs(text)) if text else ""
+        return "".join(self.run(x["text"], x["bold"], x["italic"]) for x in runs(text)) if text else ""
 
     def changed(self, text: str) -> str:
         out = []
-        for s in inline.segments(text):
+        for s in segments(text):
             if s["kind"] == "text":
                 out.append(self.run(s["text"]))
                 continue
@@ -70,7 +70,7 @@ class _Document:
 
     def inline(self, text: str) -> str:
         """One rule for a text: changes, else notes, else links, else emphasis."""
-        if any(s["kind"] != "text" for s in inline.segments(text)):
+        if any(s["kind"] != "text" for s in segments(text)):
             return self.changed(text)
         return self.noted(text) if _NOTE.search(text) else self.linked(text) if _LINK.search(text) else self.emphasised(text)
 
@@ -170,11 +170,19 @@ def document(rows: list[dict], author: str = "editor", date: str = "1970-01-01T0
     return out.getvalue()
 
 
-def build(blocks: DataFrame, author: str = "editor", date: str = "1970-01-01T00:00:00Z", key: str = "doc_id") -> DataFrame:
-    """key, docx (binary) from block rows; a column ``assets`` of maps isn't needed, ``asset`` bytes of image rows are taken."""
+def build(blocks: DataFrame, author: str = "editor", date: str = "1970-01-01T00:00:00Z", key: str = "doc_id", notes: DataFrame | None = None) -> DataFrame:
+    """key, docx (binary) from block rows; a column ``assets`` of maps isn't needed, ``asset`` bytes of image rows are taken.
+
+    ``notes`` (key, note_id, content) are the note definitions, which aren't blocks of a parsed content.
+    """
     asset = F.col("asset") if "asset" in blocks.columns else F.lit(None).cast("binary")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "type", "content", "level", "image_path", asset.alias("asset"))))
-    docs = blocks.groupBy(key).agg(ordered.alias("rows"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "type", "content", "level", "image_path", "asset")))
+    rows = blocks.select(key, "pos", "type", "content", F.col("level").cast("int").alias("level"), "image_path", asset.alias("asset"))
+    if notes is not None:
+        line = F.concat(F.lit("[^"), F.col("note_id").cast("string"), F.lit("]: "), F.col("content"))
+        empty = lambda t: F.lit(None).cast(t)
+        rows = rows.unionByName(notes.select(key, F.lit(2147483647).alias("pos"), F.lit("paragraph").alias("type"), line.alias("content"), empty("int").alias("level"), empty("string").alias("image_path"), empty("binary").alias("asset")))
+    docs = rows.groupBy(key).agg(ordered.alias("rows"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
