@@ -89,11 +89,6 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"op2_decontamination": op2_decontamination, "op4_pii": op4_pii}
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text and the label of the labelled documents."""
-    return docs.select("doc_id", "text").join(labels.select("doc_id", label), "doc_id")
-
-
 def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
@@ -102,7 +97,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm import toxicity
 
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    fitted = toxicity.train(_labelled(docs, labels.where(_remainder(5) != 0), "toxic"))
+    fitted = toxicity.train(docs, labels.where(_remainder(5) != 0))
     scores = toxicity.scored(docs, fitted)
     return scores.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

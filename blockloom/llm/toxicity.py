@@ -7,7 +7,7 @@ highest. A logistic function of these makes the score.
 
 Runs are counted over all labelled training rows, so the counts grow with the input. The model that is broadcast holds at most
 MODEL_ROWS runs: beyond that the least count is raised until they fit. The logistic weights are fitted on about CALIBRATION rows
-that the counts leave out.
+that the counts leave out, few enough to be broadcast.
 
 Null and empty texts get the score of a text without evidence. Repeated rows get equal scores; rows without a label aren't
 learned from. Letters are compared in lower case, ASCII punctuation and white space as one space each.
@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm import bloom
 from blockloom.llm.hashing import mix, text_buffer
 from blockloom.llm.storage import checkpointed
 
@@ -217,20 +218,35 @@ def _evidence_rows(labelled: DataFrame, model: Model, text: str) -> tuple[np.nda
     return np.array(rows.column("x").to_pylist()).reshape(-1, len(WINDOWS) + 1), rows.column("toxic").to_numpy().astype(float)
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Model, np.ndarray]:
-    """Model and logistic weights from rows with ``toxic`` 0 or 1. A quarter of them, by a hash of the key, calibrates."""
-    labelled = labelled.where("toxic in (0, 1)")
+def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """The labelled documents. A Bloom filter of the labelled keys leaves the other texts where they are; the join is by sorting
+    at every size, so that it needs no table in memory."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(labels.select(F.xxhash64(key).alias("id"))))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.member(bits.value, batch.column("__id").to_numpy())))
+
+    rows = docs.select(key, text, F.xxhash64(key).alias("__id"))
+    return rows.mapInArrow(run, rows.schema).drop("__id").join(labels.select(key, "toxic").hint("merge"), key)
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Model, np.ndarray]:
+    """Model and logistic weights from ``labels(key, toxic)`` with toxic 0 or 1. A quarter of them, by a hash of the key, calibrates."""
+    labels = labels.where("toxic in (0, 1)")
     drawn = F.pmod(F.xxhash64(key), F.lit(1 << 20))
-    quarter = F.coalesce(drawn, F.lit(0)) < (1 << 18)
-    table = checkpointed(counts(labelled.where(~quarter), text))
+    table = checkpointed(counts(_labelled(docs, labels.where(drawn >= (1 << 18)), key, text), text))
     least, total = 1, F.col("toxic") + F.col("ordinary")
     while table.where(total >= least).count() > MODEL_ROWS:
         least += 1
     rows = table.where(total >= least).toArrow()
     model = Model(*(rows.column(c).to_numpy() for c in ("run", "toxic", "ordinary")))
-    n = labelled.where(quarter).count()
+    n = labels.where(drawn < (1 << 18)).count()
     share = (1 << 18) if n <= CALIBRATION else (CALIBRATION << 18) // n
-    x, y = _evidence_rows(labelled.where(F.coalesce(drawn, F.lit(0)) < share), model, text)
+    sample = docs.select(key, text).join(F.broadcast(labels.where(drawn < share).select(key, "toxic")), key)
+    x, y = _evidence_rows(sample, model, text)
     return model, _fit_logistic(x, y) if len(x) else np.zeros(len(WINDOWS) + 2)
 
 
