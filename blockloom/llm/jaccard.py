@@ -1,7 +1,7 @@
 """Set-similarity join of texts by word shingles: the grouped prefix join.
 
-The tokens of a document are the hashes of its distinct k-word shingles. All documents order their tokens alike: by the count
-of the shingle's rarest word, then by hash. Two sets with a Jaccard similarity of at least num/den share a token within their
+The tokens of a document are the hashes of its distinct k-word shingles. All documents order their tokens alike: by the product
+of the counts of the shingle's words, which tells how rare it should be, then by hash. Two sets with a Jaccard similarity of at least num/den share a token within their
 first n - ceil(n * num / den) + 1 tokens, their prefix. The steps:
 
 1. documents with equal sets fall into one class, classes with equal prefix and size into one group;
@@ -35,7 +35,7 @@ MAX_WORDS = 1 << 20
 LEAST_COUNT = 8
 LEAST_PARITY_BITS = 512
 #: Tokens of up to so many groups are paired at once; larger ones go by their head first. Both ways find the same components.
-SMALL = 8
+SMALL = 4
 
 
 def frequent_words(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -98,17 +98,19 @@ def signatures(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], k: int, nu
 
         hasher = Hasher(lower=True)
         frequent, counts = known.value
+        weights = np.log2(counts)
+        unknown = weights.min() - 1 if len(weights) else 0.0
         for batch in batches:
             sizes, first, second, prefixes, parities, alike = [], [], [], [], [], []
             for _, _, h, at in hasher.documents(batch.column(text)):
+                weight = np.full(len(h), unknown)
                 if len(frequent):
                     i = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    count = np.where(frequent[i] == h, counts[i], 0)
-                else:
-                    count = np.zeros(len(h), np.int64)
-                least = count[: max(len(count) - k + 1, 0)]
-                for j in range(1, k):
-                    least = np.minimum(least, count[j : j + len(least)])
+                    weight = np.where(frequent[i] == h, weights[i], unknown)
+                places = max(len(h) - k + 1, 0)
+                least = np.zeros(places)
+                for j in range(k):
+                    least = least + weight[j : j + places]
                 for tokens, where in _shingles(h, at, k):
                     unique, i = np.unique(tokens, return_index=True)
                     n = len(unique)
@@ -153,15 +155,19 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataF
     return docs.select(key, text).mapInArrow(run, "id bigint, tokens array<bigint>")
 
 
+def _near(pa, pb, na, nb, num: int, den: int):
+    """Whether two sets can be similar enough by their parities, the longer of which is folded to the shorter."""
+    half = lambda p: F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(p) / 2, F.lit(1)).cast("int")), F.slice(p, (F.size(p) / 2).cast("int") + 1, F.size(p)), lambda x, y: x.bitwiseXOR(y))
+    longer = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
+    counted = F.aggregate(F.zip_with(longer(pa, pb), longer(pb, pa), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    differ = F.when(F.size(pa).between(F.size(pb) / 2, F.size(pb) * 2), counted).otherwise(0)
+    return (na + nb - differ) * F.lit(num + den) >= (na + nb) * F.lit(2 * num)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, parity: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs ``a, b`` whose exact sets are similar enough; pairs whose parities (id, n, parity) differ too much go first."""
     l, r = (parity.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in ("a", "b"))
-    half = lambda p: F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(p) / 2, F.lit(1)).cast("int")), F.slice(p, (F.size(p) / 2).cast("int") + 1, F.size(p)), lambda x, y: x.bitwiseXOR(y))
-    longer = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
-    pa, pb = longer(F.col("pa"), F.col("pb")), longer(F.col("pb"), F.col("pa"))
-    counted = F.aggregate(F.zip_with(pa, pb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    differ = F.when(F.size("pa").between(F.size("pb") / 2, F.size("pb") * 2), counted).otherwise(0)
-    near = (F.col("na") + F.col("nb") - differ) * F.lit(num + den) >= (F.col("na") + F.col("nb")) * F.lit(2 * num)
+    near = _near(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"), num, den)
     pairs = checkpointed(pairs.join(l, "a").join(r, "b").where(near).select("a", "b"))
     sets = checkpointed(_sets(docs, pairs.select(F.explode(F.array("a", "b"))), k, key, text))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
@@ -221,19 +227,22 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
 
     labels = components(first)
     members = checkpointed(members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", "gid", "rep", F.coalesce("component", "rep").alias("component")))
-    spread = checkpointed(members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")))
-    left = postings.where("not small").join(spread, "gid").select("token", "gid", "n", "pos", "lo", "hi")
-    open_tokens = left.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("token")
-    left = checkpointed(left.join(open_tokens, "token"))
+    member = members.select("gid", F.col("rep").alias("r"), F.col("component").alias("c")).join(parity.select(F.col("id").alias("r"), F.col("n").alias("size"), F.col("parity").alias("p")), "r")
+    member = checkpointed(member)
+    left = postings.where("not small").select("token", "gid", "n", "pos").join(members.select("gid", "rep", "component"), "gid")
+    open_tokens = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    left = checkpointed(left.join(open_tokens, "token").select("token", "n", "pos", F.col("rep").alias("r")).join(member.select("r", "c", "p"), "r"))
     l, r = left.alias("l"), left.alias("r")
-    apart = (F.col("l.lo") != F.col("l.hi")) | (F.col("r.lo") != F.col("r.hi")) | (F.col("l.lo") != F.col("r.lo"))
-    large = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & apart).where(_may_match(num, den)).select(F.col("l.gid").alias("g"), F.col("r.gid").alias("h"))
-    crowds = spread.where("size > 1").select("gid")
-    wide = pairs.join(crowds.withColumnRenamed("gid", "a"), "a", "left_semi").unionByName(pairs.join(crowds.withColumnRenamed("gid", "b"), "b", "left_semi").select("a", "b"))
-    pairs = large.unionByName(wide.select(F.col("a").alias("g"), F.col("b").alias("h")))
-    inside = spread.where("lo <> hi").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    x, y = (members.select(F.col("gid").alias(g), F.col("rep").alias(a), F.col("component").alias(c)) for g, a, c in (("g", "a", "ca"), ("h", "b", "cb")))
-    rest = pairs.unionByName(inside).distinct().join(x, "g").join(y, "h").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ordered = (F.col("l.token") == F.col("r.token")) & (F.col("l.c") < F.col("r.c"))
+    large = l.join(r, ordered & _may_match(num, den) & _near(F.col("l.p"), F.col("r.p"), F.col("l.n"), F.col("r.n"), num, den)).select(F.col("l.r").alias("a"), F.col("r.r").alias("b"))
+    crowds = members.groupBy("gid").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("m > 1")
+    wide = pairs.join(crowds.select(F.col("gid").alias("a")), "a", "left_semi").unionByName(pairs.join(crowds.select(F.col("gid").alias("b")), "b", "left_semi").select("a", "b"))
+    inside = crowds.where("lo < hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    x, y = (member.select(F.col("gid").alias(g), *(F.col(c).alias(f"{c}{g}") for c in ("r", "c", "p", "size"))) for g in ("a", "b"))
+    apart = (F.col("ca") != F.col("cb")) & _near(F.col("pa"), F.col("pb"), F.col("sizea"), F.col("sizeb"), num, den)
+    met = wide.unionByName(inside).distinct().join(x, "a")
+    crowd = met.join(y, (met.b == y.b) & apart).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    rest = large.unionByName(crowd).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = verified(docs, rest, parity, k, num, den, key, text)
 
     labels = components(first.unionByName(second))
