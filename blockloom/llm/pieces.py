@@ -16,6 +16,8 @@ CACHED_PIECES = 400_000
 CACHED_LENGTH = 48
 _SAFE = re.compile(r"(?<=\S) ")
 _RUN = re.compile(r"\s ")
+#: Marks that end a piece after letters are matches of their own, as a space or the text's end follows.
+_MARKS = frozenset(".,;:!?")
 
 
 def segments(text: str) -> Iterator[str]:
@@ -38,12 +40,19 @@ class PieceEncoder:
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], cache: dict[str, bytes] | None = None):
         self.encode_pieces = encode_pieces
         self.cache = {} if cache is None else cache
+        self.marks: dict[str, bytes] = {}
 
     def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of the pieces with their leading space."""
+        """Ids of the pieces with their leading space; a last mark after letters is encoded apart, so that more pieces are alike."""
         cached = self.cache
         new = [p for p in pieces if p not in cached]
-        found = dict(zip(new, self.encode_pieces([" " + p for p in new]), strict=True)) if new else {}
+        stems = {p: p[:-1] for p in new if p[-1:] in _MARKS and p[:-1].isalpha()}
+        wanted = [s for s in dict.fromkeys(stems.get(p, p) for p in new) if s not in cached]
+        found = dict(zip(wanted, self.encode_pieces([" " + p for p in wanted]), strict=True)) if wanted else {}
+        for p, stem in stems.items():
+            if p[-1] not in self.marks:
+                self.marks[p[-1]] = self.encode_pieces([p[-1]])[0]
+            found[p] = (cached.get(stem) or found[stem]) + self.marks[p[-1]]
         room = CACHED_PIECES - len(self.cache)
         if room > len(found):
             self.cache.update((p, ids) for p, ids in found.items() if len(p) <= CACHED_LENGTH)
