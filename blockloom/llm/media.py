@@ -115,7 +115,8 @@ class ArchiveRange(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
-        self.range_bytes = int(options.get("range_bytes", 16 << 20))
+        blocks = -(-int(options.get("range_bytes", 16 << 20)) // tarfile.BLOCKSIZE)
+        self.range_bytes = max(1, blocks) * tarfile.BLOCKSIZE  # members begin at whole blocks
         self.attempts = int(options.get("attempts", 3))
 
     def partitions(self) -> list[ArchiveRange]:

@@ -27,7 +27,7 @@ def labelled(spark, kind, n=600):
 
 
 def accuracy(scores, truth, label):
-    rows = scores.join(truth.select("doc_id", label), "doc_id").select(((F.col("score") >= 0.5).cast("int") == F.col(label)).cast("int").alias("hit"))
+    rows = scores.select("doc_id", "score").join(truth.select("doc_id", label), "doc_id").select(((F.col("score") >= 0.5).cast("int") == F.col(label)).cast("int").alias("hit"))
     return rows.agg(F.avg("hit")).first()[0]
 
 
@@ -94,7 +94,7 @@ def pages(spark):
 
 def archive(spark, tmp_path, least=0):
     folder = (tmp_path / "w").as_uri()
-    return [(f"{folder}/{n}", s) for n, s in warc.write(warc.with_revisits(pages(spark), least).coalesce(1).orderBy(F.expr("page_id nulls last")), folder)]
+    return [(f"{folder}/{n}", s) for n, s in warc.write(warc.with_revisits(pages(spark), least).coalesce(1).sortWithinPartitions(F.col("page_id").asc_nulls_last()), folder)]
 
 
 def test_warc_round_trip(spark, tmp_path):

@@ -269,12 +269,12 @@ def test_base_spans(spark):
 
 
 def test_context_finds_unseen_identifiers(spark):
-    texts = [f"lorem account 110.120.{100 + i}.7 closed" for i in range(8)] + ["lorem account AB-7731-X closed", "other 12345 words", "year 2024 ended"]
+    texts = [f"lorem account 110.120.{100 + i}.7 closed" for i in range(12)] + ["lorem account AB-7731-X closed", "other 12345 words", "year 2024 ended"]
     got = {r["doc_id"]: r["spans"] for r in pii.findings(frame(spark, texts)).collect()}
-    assert got[8] == "context:14:23" and got[9] == "" and got[10] == ""
+    assert got[12] == "context:14:23" and got[13] == "" and got[14] == ""
     clean = {r["doc_id"]: r for r in pii.redacted(frame(spark, [*texts, None]).withColumn("n_chars", F.length("text")).withColumn("spans", F.lit("clash"))).collect()}
-    assert clean[8]["text"] == "lorem account [CONTEXT] closed" and clean[8]["n_chars"] == 30 and clean[0]["text"] == "lorem account [IP] closed"
-    assert clean[9]["text"] == texts[9] and clean[11]["text"] is None and clean[8]["spans"] == "clash"
+    assert clean[12]["text"] == "lorem account [CONTEXT] closed" and clean[12]["n_chars"] == 30 and clean[0]["text"] == "lorem account [IP] closed"
+    assert clean[13]["text"] == texts[13] and clean[15]["text"] is None and clean[12]["spans"] == "clash"
     assert pii.findings(frame(spark, texts).where("false")).count() == 0
 
 
