@@ -83,7 +83,7 @@ def read_directories(spark: SparkSession, path: str, suffix: str = DIRECTORY_SUF
 
 def texts(members: DataFrame) -> DataFrame:
     """path, name, text of the text members."""
-    return members.where("safe and (name like '%.md' or name like '%.json')").select("path", "name", F.decode("bytes", "UTF-8").alias("text"))
+    return members.where("safe and (name like '%.md' or name like '%.json')").select("path", "name", F.col("bytes").cast("string").alias("text"))
 
 
 def containers(members: DataFrame) -> DataFrame:
