@@ -5,9 +5,9 @@ these leave goes on to shorter runs and at last to those of SHARED bytes, whose
 expression that is rare in one class falls back on the same estimate in both. The difference of the two log-likelihoods is divided by the length: of the whole text, and of its WINDOWS-byte windows at their
 highest. A logistic function of these makes the score.
 
-Runs are counted over all labelled training rows, so the counts grow with the input. The model that is broadcast holds at most
-MODEL_ROWS runs: beyond that the least count is raised until they fit. The logistic weights are fitted on about CALIBRATION rows
-that the counts leave out, few enough to be broadcast.
+Every run of the counted rows is in the model, however rare, so the model grows with the input: it is made by Spark and lies in
+files of the shared folder, which scoring looks up by the distinct runs of a batch of texts. The logistic weights are fitted on
+about CALIBRATION rows that the counts leave out, few enough to be broadcast.
 
 Null and empty texts get the score of a text without evidence. Repeated rows get equal scores; rows without a label aren't
 learned from. Letters are compared in lower case, ASCII punctuation and white space as one space each.
@@ -16,22 +16,25 @@ learned from. Letters are compared in lower case, ASCII punctuation and white sp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import bloom
 from blockloom.llm.hashing import mix, text_buffer
-from blockloom.llm.storage import checkpointed
+from blockloom.llm.storage import checkpointed, filesystem, new_folder, process_cache
 
 ORDER = 6
 SHARED = 2
 WINDOWS = (16, 48)
-MODEL_ROWS = 1 << 20
 CALIBRATION = 20_000
 DISCOUNT = 0.75
 BLOCK = 1 << 17
+BATCH = 1 << 20
+BLOCK_ROWS = 1 << 18
+CACHED = 128 << 20
 SPACE = 32
 
 
@@ -105,83 +108,174 @@ def _mask(n: int) -> int:
     return (1 << 8 * n) - 1
 
 
-class Table:
-    """Values of int64 keys by a directory over their hashes; unknown keys are told apart."""
+def _named(n: int, contexts: bool) -> int:
+    """The top bits that tell the keys of each table apart."""
+    return (2 * n + contexts) << 48
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+
+class Model:
+    """Log-likelihood ratios of the known runs of SHARED + 1 to ORDER bytes, and of what their contexts leave to shorter runs.
+
+    They lie in files of a shared folder, each with the sorted hashes that begin with the same ``bits`` bits and then their
+    values. Files are mapped where the folder is local; a process holds at most CACHED bytes of them.
+    """
+
+    def __init__(self, folder: str, bits: int, sizes: dict[int, int]):
+        self.folder, self.bits, self.sizes = folder, bits, sizes
+
+    def _block(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        held = process_cache().setdefault("toxicity blocks", {})
+        name = f"{self.folder}/{number:06d}"
+        found = held.pop(name, None)
+        if found is None:
+            fs, path = filesystem(name)
+            data = _contents(fs, path)
+            n = self.sizes[number]
+            if len(data) != 12 * n:
+                raise OSError(f"{name}: {len(data)} bytes of {12 * n}")
+            found = np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.float32, n, 8 * n)
+            room = CACHED - 12 * n
+            while held and sum(12 * len(h) for h, _ in held.values()) > room:
+                del held[next(iter(held))]
+        held[name] = found
+        return found
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values and whether each key is known."""
         h = mix(keys.view(np.uint64))
         order = np.argsort(h)
-        self.hashes, self.values = np.append(h[order], np.uint64(0)), np.append(values[order].astype(np.float32), np.float32(0))
-        self.bits = max(4, int(len(keys)).bit_length() + 1)
-        self.first = self._directory(h[order])
-        self.most = int(np.diff(self.first).max(initial=0))
+        h = h[order]
+        values, known = np.zeros(len(h), np.float32), np.zeros(len(h), bool)
+        numbers, begins = np.unique(_block_of(h, self.bits), return_index=True)
+        for number, a, z in zip(numbers.tolist(), begins.tolist(), [*begins.tolist(), len(h)][1:], strict=True):
+            if number in self.sizes:
+                hashes, theirs = self._block(number)
+                at = np.minimum(np.searchsorted(hashes, h[a:z]), len(hashes) - 1)
+                known[order[a:z]] = hit = hashes[at] == h[a:z]
+                values[order[a:z]] = np.where(hit, theirs[at], 0)
+        return values, known
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """log P(toxic) - log P(ordinary) of the last byte of each run."""
+        runs_, back = np.unique(x, return_inverse=True)
+        value, open_ = np.zeros(len(runs_), np.float32), np.arange(len(runs_))
+        for n in range(ORDER, SHARED, -1):
+            here = runs_[open_] & _mask(n)
+            ratio, known = self._find(here | _named(n, False))
+            value[open_[known]] += ratio[known]
+            open_, here = open_[~known], here[~known]
+            if not len(open_):
+                break
+            value[open_] += self._find((here >> 8) | _named(n, True))[0]
+        return value[back]
 
-    def _directory(self, h: np.ndarray) -> np.ndarray:
-        sizes = np.bincount((h >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
-        return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    def ratios(self, b: np.ndarray) -> np.ndarray:
+        """log P(toxic) - log P(ordinary) of each byte from the ORDER-th on."""
+        return np.concatenate([np.empty(0, np.float32), *(self.values(runs(b[at : at + BATCH + ORDER - 1])) for at in range(0, len(b) - ORDER + 1, BATCH))])
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values and whether each key is known."""
-        h = mix(keys.view(np.uint64))
-        at = self.first[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
-        found = self.hashes[at] == h
-        for step in range(1, self.most):
-            (open_,) = np.nonzero(~found)
-            further = np.minimum(at[open_] + step, len(self.hashes) - 1)
-            hit = self.hashes[further] == h[open_]
-            at[open_[hit]] = further[hit]
-            found[open_[hit]] = True
-        return self.values[at], found
 
+def _contents(fs, path: str):
+    import pyarrow as pa
+    from pyarrow import fs as pafs
 
-class Model:
-    """Log-likelihood ratios of the known runs of SHARED + 1 to ORDER bytes, and of what their contexts leave to shorter runs."""
-
-    def __init__(self, run: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        run, order = np.sort(run), np.argsort(run)
-        keys, ends = {ORDER: run}, {}
-        for n in range(ORDER - 1, 0, -1):
-            keys[n], ends[n] = np.unique(keys[n + 1] & _mask(n), return_inverse=True)
-
-        def continuations(top: np.ndarray) -> dict[int, np.ndarray]:
-            found = {ORDER: top.astype(np.float64)}
-            for n in range(ORDER - 1, 0, -1):
-                found[n] = np.bincount(ends[n], found[n + 1] > 0, len(keys[n])).astype(np.float64)
-            return found
-
-        both = continuations(np.ones(len(run)))
-        shared = np.full(len(keys[1]), 1 / 256)
-        for n in range(1, SHARED + 1):
-            shared = _level(keys[n], both[n], shared if n == 1 else shared[ends[n - 1]])[0]
-        below, counted = [shared, shared], [continuations(toxic[order]), continuations(ordinary[order])]
-        self.known, self.rest = {}, {}
-        for n in range(SHARED + 1, ORDER + 1):
-            (below[0], contexts, left), (below[1], _, also) = (_level(keys[n], counted[c][n], below[c][ends[n - 1]]) for c in (0, 1))
-            self.known[n] = Table(keys[n], np.log(below[0]) - np.log(below[1]))
-            self.rest[n] = Table(contexts, np.log(left) - np.log(also))
+    if isinstance(fs, pafs.LocalFileSystem):
+        with pa.memory_map(path) as source:
+            return source.read_buffer()
+    with fs.open_input_file(path) as source:
+        return source.read_buffer()
 
-    def ratios(self, b: np.ndarray) -> np.ndarray:
-        """log P(toxic) - log P(ordinary) of each byte from the ORDER-th on."""
-        found = []
-        for at in range(0, len(b) - ORDER + 1, BLOCK):
-            x = runs(b[at : at + BLOCK + ORDER - 1])
-            value, open_ = np.zeros(len(x), np.float32), np.arange(len(x))
-            for n in range(ORDER, SHARED, -1):
-                here = x[open_] & _mask(n)
-                ratio, known = self.known[n].find(here)
-                value[open_[known]] += ratio[known]
-                open_, here = open_[~known], here[~known]
-                if not len(open_):
-                    break
-                rest, seen = self.rest[n].find(here >> 8)
-                value[open_] += np.where(seen, rest, 0)
-            found.append(value)
-        return np.concatenate(found) if found else np.empty(0, np.float32)
-
-
-def evidence(model: Model, b: np.ndarray) -> list[float]:
-    """Ratios divided by length: of the whole text, and of its best window of each size."""
-    r = model.ratios(b)
+
+def _block_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def _stored(rows: DataFrame) -> Model:
+    """The model of ``rows(key, value)``, in files of about BLOCK_ROWS rows."""
+    n, folder = rows.count(), new_folder(rows.sparkSession, "toxicity")
+    bits = max(0, (n // BLOCK_ROWS).bit_length())
+
+    def number(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            h = mix(batch.column("key").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(_block_of(h, bits)), pa.array(h.view(np.int64)), batch.column("value")], names=["block", "hash", "value"])
+
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        attempt = TaskContext.get().taskAttemptId()
+        fs, path = filesystem(folder)
+        fs.create_dir(path)
+        here, parts = None, []
+
+        def flush():
+            hashes, values = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(hashes)
+            with fs.open_output_stream(f"{path}/.{here:06d}-{attempt}") as sink:
+                sink.write(hashes[order].tobytes() + values[order].tobytes())
+            fs.move(f"{path}/.{here:06d}-{attempt}", f"{path}/{here:06d}")
+            return pa.RecordBatch.from_pydict({"block": [here], "n": [len(order)]})
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            hashes, values = batch.column("hash").to_numpy().view(np.uint64), batch.column("value").to_numpy().astype(np.float32)
+            begins = np.flatnonzero(np.diff(blocks, prepend=-1)).tolist()
+            for a, z in zip(begins, [*begins, len(blocks)][1:], strict=True):
+                if here is not None and blocks[a] != here:
+                    yield flush()
+                    parts = []
+                here = int(blocks[a])
+                parts.append((hashes[a:z], values[a:z]))
+        if parts:
+            yield flush()
+
+    placed = rows.select("key", "value").mapInArrow(number, "block bigint, hash bigint, value double").repartition(1 << bits, "block").sortWithinPartitions("block")
+    sizes = {r["block"]: r["n"] for r in placed.mapInArrow(write, "block bigint, n bigint").collect()}
+    if sum(sizes.values()) != n:
+        raise OSError(f"{folder}: {sum(sizes.values())} rows of {n}")
+    return Model(folder, bits, sizes)
+
+
+def fit(table: DataFrame) -> Model:
+    """The model of all rows of :func:`counts`. Tables of more than SHARED bytes are made by windows over contexts and joins to
+    the next shorter runs; nothing but the shared counts (at most 2^16 rows) is held by the driver."""
+    spark = table.sparkSession
+    n_of = lambda c: F.sum((F.col(c) > 0).cast("bigint"))
+    levels = {ORDER: table.where("toxic + ordinary > 0").select(F.col("run").alias("key"), "toxic", "ordinary", F.lit(1).cast("bigint").alias("both"))}
+    for n in range(ORDER - 1, SHARED - 1, -1):
+        shorter = levels[n + 1].groupBy(F.col("key").bitwiseAND(F.lit(_mask(n))).alias("key"))
+        levels[n] = checkpointed(shorter.agg(n_of("toxic").alias("toxic"), n_of("ordinary").alias("ordinary"), F.count("*").alias("both")))
+
+    top = levels[SHARED].select("key", "both").toArrow()
+    keys, both = (top.column(c).to_numpy() for c in ("key", "both"))
+    chain = [(keys, both.astype(np.float64))]
+    for n in range(SHARED - 1, 0, -1):
+        shorter, ends = np.unique(chain[0][0] & _mask(n), return_inverse=True)
+        chain.insert(0, (shorter, np.bincount(ends, minlength=len(shorter)).astype(np.float64)))
+    share = np.full(len(chain[0][0]), 1 / 256)
+    for n, (keys, both) in enumerate(chain, 1):
+        share = _level(keys, both, share if n == 1 else share[np.searchsorted(chain[n - 2][0], keys & _mask(n - 1))])[0]
+    below = spark.createDataFrame(list(zip(keys.tolist(), share.tolist(), share.tolist(), strict=True)), "end bigint, below_toxic double, below_ordinary double")
+
+    found = []
+    for n in range(SHARED + 1, ORDER + 1):
+        same = Window.partitionBy("context")
+        rows = levels[n].select("key", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(_mask(n - 1))).alias("end"), "toxic", "ordinary")
+        for c in ("toxic", "ordinary"):
+            total, kinds = F.sum(c).over(same), n_of(c).over(same)
+            rows = rows.withColumn(f"total_{c}", total).withColumn(f"left_{c}", F.when(total > 0, DISCOUNT * kinds / total).otherwise(1.0))
+        own = lambda c: F.when(F.col(f"total_{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"total_{c}")).otherwise(0.0)
+        p = lambda c: (own(c) + F.col(f"left_{c}") * F.col(f"below_{c}")).alias(f"p_{c}")
+        made = checkpointed(rows.join(below, "end").select("key", "context", p("toxic"), p("ordinary"), F.log(F.col("left_toxic") / F.col("left_ordinary")).alias("rest")))
+        found.append(made.select((F.col("key") + F.lit(_named(n, False))).alias("key"), F.log(F.col("p_toxic") / F.col("p_ordinary")).alias("value")))
+        found.append(made.groupBy("context").agg(F.first("rest").alias("value")).select((F.col("context") + F.lit(_named(n, True))).alias("key"), "value"))
+        below = made.select(F.col("key").alias("end"), F.col("p_toxic").alias("below_toxic"), F.col("p_ordinary").alias("below_ordinary"))
+    return _stored(reduce(DataFrame.unionByName, found))
+
+
+def _evidence(r: np.ndarray) -> list[float]:
     if not len(r):
         return [0.0] * (len(WINDOWS) + 1)
     sums = np.zeros(len(r) + 1)
@@ -189,6 +283,28 @@ def evidence(model: Model, b: np.ndarray) -> list[float]:
     return [sums[-1] / len(r), *((sums[w:] - sums[:-w]).max() / w if len(r) >= w else sums[-1] / w for w in WINDOWS)]
 
 
+def evidence(model: Model, bodies: Iterator[np.ndarray]) -> Iterator[list[float]]:
+    """Ratios of each text divided by length: of the whole text, and of its best window of each size. Short texts are looked up
+    together."""
+
+    def flush(waiting: list) -> Iterator[list[float]]:
+        values, ends = model.values(np.concatenate(waiting)), np.cumsum([len(x) for x in waiting])
+        return map(_evidence, np.split(values, ends[:-1]))
+
+    waiting, size = [], 0
+    for b in bodies:
+        if waiting and size + len(b) > BATCH:
+            yield from flush(waiting)
+            waiting, size = [], 0
+        if len(b) > BATCH:
+            yield _evidence(model.ratios(b))
+        else:
+            waiting.append(runs(b))
+            size += len(b)
+    if waiting:
+        yield from flush(waiting)
+
+
 def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
     """Newton's method on standardised columns; returns weights of the plain columns, the intercept last."""
     mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -211,7 +327,7 @@ def _evidence_rows(labelled: DataFrame, model: Model, text: str) -> tuple[np.nda
         import pyarrow as pa
 
         for batch in batches:
-            rows = [evidence(share.value, b) for b in texts(batch.column(text))]
+            rows = list(evidence(share.value, texts(batch.column(text))))
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rows = labelled.select(text, "toxic").mapInArrow(run, "toxic int, x array<double>").toArrow()
@@ -238,11 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     labels = labels.where("toxic in (0, 1)")
     drawn = F.pmod(F.xxhash64(key), F.lit(1 << 20))
     table = checkpointed(counts(_labelled(docs, labels.where(drawn >= (1 << 18)), key, text), text))
-    least, total = 1, F.col("toxic") + F.col("ordinary")
-    while table.where(total >= least).count() > MODEL_ROWS:
-        least += 1
-    rows = table.where(total >= least).toArrow()
-    model = Model(*(rows.column(c).to_numpy() for c in ("run", "toxic", "ordinary")))
+    model = fit(table)
     n = labels.where(drawn < (1 << 18)).count()
     share = (1 << 18) if n <= CALIBRATION else (CALIBRATION << 18) // n
     sample = docs.select(key, text).join(F.broadcast(labels.where(drawn < share).select(key, "toxic")), key)
@@ -259,7 +371,7 @@ def scored(docs: DataFrame, fitted: tuple[Model, np.ndarray], key: str = "doc_id
 
         model, w = share.value
         for batch in batches:
-            x = np.array([evidence(model, b) for b in texts(batch.column(text))]).reshape(-1, len(WINDOWS) + 1)
+            x = np.array(list(evidence(model, texts(batch.column(text))))).reshape(-1, len(WINDOWS) + 1)
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(p)], names=[key, "score"])
 

@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from blockloom.llm import media, quality, toxicity, warc
@@ -74,6 +76,57 @@ def test_toxicity_counts_equal_brute_force(spark):
     assert +got == expected
 
 
+def brute_ratios(rows, text):
+    """log P(toxic) - log P(ordinary) of each byte, from dicts over all rows (text, toxic)."""
+    from collections import defaultdict
+
+    fold = lambda t: bytes(b + 32 if 65 <= b < 91 else b if b > 127 or chr(b).isalnum() else 32 for b in f" {t} ".encode())
+    tables = {(c, n): defaultdict(int) for c in (0, 1, "both") for n in range(1, 7)}
+    for t, c in rows:
+        b = fold(t)
+        for i in range(len(b) - 5):
+            tables[c, 6][b[i : i + 6]] += 1
+            tables["both", 6][b[i : i + 6]] = 1
+    for c in (0, 1, "both"):
+        for n in range(5, 0, -1):
+            for key in tables[c, n + 1]:
+                tables[c, n][key[1:]] += 1
+
+    def p(c, n, run):
+        if n == 0:
+            return 1 / 256
+        table = tables["both" if n <= toxicity.SHARED else c, n]
+        seen = [v for k, v in table.items() if k[:-1] == run[:-1]]
+        below = p(c, n - 1, run[1:])
+        return (max(table.get(run, 0) - 0.75, 0) + 0.75 * len(seen) * below) / sum(seen) if seen else below
+
+    b = fold(text)
+    return [math.log(p(1, 6, b[i : i + 6]) / p(0, 6, b[i : i + 6])) for i in range(len(b) - 5)]
+
+
+def model_input(spark, where):
+    texts = [("you vile fool", 1), ("go home, fool", 1), ("a vile thing", 1), ("the river and the stone", 0), ("a garden, a window", 0), ("good home", 0), ("Stone by stone", 0), ("the fool of the river", 0)]
+    rows = spark.createDataFrame([(i, *texts[i % 8]) for i in range(24)], "doc_id bigint, text string, toxic int").where(where)
+    return rows, [(r["text"], r["toxic"]) for r in rows.collect()]
+
+
+def close(model, rows, texts):
+    import numpy as np
+
+    return all(np.allclose(model.ratios(next(toxicity.texts(pa.array([t])))), brute_ratios(rows, t), atol=1e-4) for t in texts)
+
+
+UNSEEN = ["you vile fool", "the VILE river", "xyz qqq", "é fo"]
+
+
+def test_toxicity_model_keeps_every_run(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 16, raising=False)
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 50, raising=False)
+    rows, local = model_input(spark, "pmod(xxhash64(doc_id), 1 << 20) >= 1 << 18")
+    model, _ = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert close(model, local, UNSEEN)
+
+
 def test_known_runs_are_probabilities():
     import numpy as np
 
