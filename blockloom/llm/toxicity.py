@@ -7,7 +7,8 @@ highest. A logistic function of these makes the score.
 
 Every run of the counted rows is in the model, however rare, so the model grows with the input: it is made by Spark and lies in
 files of the shared folder, which scoring looks up by the distinct runs of a batch of texts. The logistic weights are fitted on
-about CALIBRATION rows that the counts leave out, few enough to be broadcast.
+at most about CALIBRATION rows, few enough to be broadcast, by a model that leaves these out; the model that scores counts all
+labelled training rows.
 
 Null and empty texts get the score of a text without evidence. Repeated rows get equal scores; rows without a label aren't
 learned from. Letters are compared in lower case, ASCII punctuation and white space as one space each.
@@ -350,15 +351,19 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFr
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Model, np.ndarray]:
-    """Model and logistic weights from ``labels(key, toxic)`` with toxic 0 or 1. A quarter of them, by a hash of the key, calibrates."""
+    """Model and logistic weights from ``labels(key, toxic)`` with toxic 0 or 1.
+
+    A quarter of them by a hash of the key, about CALIBRATION at most, calibrates: the weights are fitted on these rows' evidence
+    from a model of the other rows. The model that is returned counts all of them."""
     labels = labels.where("toxic in (0, 1)")
     drawn = F.pmod(F.xxhash64(key), F.lit(1 << 20))
-    table = checkpointed(counts(_labelled(docs, labels.where(drawn >= (1 << 18)), key, text), text))
-    model = fit(table)
     n = labels.where(drawn < (1 << 18)).count()
     share = (1 << 18) if n <= CALIBRATION else (CALIBRATION << 18) // n
-    sample = docs.select(key, text).join(F.broadcast(labels.where(drawn < share).select(key, "toxic")), key)
-    x, y = _evidence_rows(sample, model, text)
+    held = labels.where(drawn < share)
+    others = checkpointed(counts(_labelled(docs, labels.where(drawn >= share), key, text), text))
+    x, y = _evidence_rows(docs.select(key, text).join(F.broadcast(held.select(key, "toxic")), key), fit(others), text)
+    both = others.unionByName(counts(_labelled(docs, held, key, text), text))
+    model = fit(checkpointed(both.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))))
     return model, _fit_logistic(x, y) if len(x) else np.zeros(len(WINDOWS) + 2)
 
 

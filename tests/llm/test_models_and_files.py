@@ -127,6 +127,15 @@ def test_toxicity_model_keeps_every_run(spark, monkeypatch):
     assert close(model, local, UNSEEN)
 
 
+def test_toxicity_counts_all_labelled_rows(spark, monkeypatch):
+    rows, local = model_input(spark, "true")
+    assert 0 < rows.where("pmod(xxhash64(doc_id), 1 << 20) < 1 << 18").count() < rows.count()
+    for calibration in (toxicity.CALIBRATION, 2):
+        monkeypatch.setattr(toxicity, "CALIBRATION", calibration)
+        model, _ = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+        assert close(model, local, UNSEEN)
+
+
 def test_known_runs_are_probabilities():
     import numpy as np
 
