@@ -3,10 +3,11 @@
 Base spans are the leftmost non-overlapping matches of each kind that pass the kind's test. The patterns are written so that
 matching takes linear time: runs are possessive, and a match begins where its run begins (or the last match ended).
 
-Bootstrapping: tokens with at least four digits are instances; the word before and the word after an instance are its patterns.
-Instances inside base spans are seeds. The pattern-instance graph is scored in rounds: a pattern's confidence is the mean score
-of its instances, an instance's score the noisy-or of its confident patterns. Instances whose score reaches ``threshold``, with
-patterns seen on at least ``support`` seeds' worth of instances, become spans of kind ``context``.
+Bootstrapping: words are instances, where a base span of any kind and what adjoins it counts as one word; the word before and the
+word after an instance are its patterns. Instances that hold base spans are seeds. The pattern-instance graph is scored in rounds:
+a pattern's confidence is the mean score of its instances, an instance's score the noisy-or of its confident patterns. Instances
+whose score reaches ``threshold``, with patterns seen on at least ``support`` seeds' worth of instances, become spans of kind
+``context``.
 
 Null and empty texts have no spans. Repeated rows get the same spans. Offsets are code points, ends exclusive.
 """
@@ -29,9 +30,8 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-LEAST_DIGITS = 4
+MARK, JOINT = "\u0002", "\u0001"
 
 
 def _digits(c: Column) -> Column:
@@ -77,30 +77,55 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(hint, _located(text, PATTERNS[kind], TESTS[kind], made, SPAN)).otherwise(F.array().cast(SPAN))
 
 
-INSTANCE = "array<struct<start:int,end:int,instance:string,left:string,right:string>>"
+def _marked(text: Column, base: Column) -> Column:
+    """The text with MARK before each base span, or what of it no earlier span covers, and its spaces replaced."""
+    clean = F.translate(text, JOINT + MARK, "\u0003\u0003")
 
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], acc["pos"])
+        before, span = F.substring(clean, acc["pos"] + 1, begin - acc["pos"]), F.substring(clean, begin + 1, s["end"] - begin)
+        made = F.struct(s["end"].alias("pos"), F.concat(acc["out"], before, F.lit(MARK), F.translate(span, " ", JOINT)).alias("out"))
+        return F.when(s["end"] <= acc["pos"], acc).otherwise(made)
+
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    return F.when(F.size(base) == 0, clean).otherwise(F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.substring(clean, acc["pos"] + 1, F.length(clean)))))
+
+
+def mentions(marked: DataFrame) -> DataFrame:
+    """row, i, instance, known, left, right of every word of ``marked(row, marked)``; words with a digit or span count as ``#``."""
+    words, edge = F.split("marked", r"\s+"), F.array(F.lit(""))
+    beside = F.arrays_zip(words.alias("w"), F.concat(edge, words).alias("l"), F.concat(F.slice(words, F.lit(2), F.size(words)), edge).alias("r"))
+    side = lambda c: F.when(F.col(c).isNull() | (F.col(c) == "") | F.col(c).rlike(f"[0-9{MARK}]"), "#").otherwise(F.lower(c))
+    each = marked.select("row", F.posexplode(beside).alias("i", "x")).select("row", "i", "x.*").where("w <> ''")
+    return each.select("row", "i", F.lower("w").alias("instance"), F.contains("w", F.lit(MARK)).alias("known"), side("l").alias("left"), side("r").alias("right"))
 
-def instances(text: Column) -> Column:
-    """Tokens with at least LEAST_DIGITS digits, and the words beside them (a word with a digit counts as ``#``)."""
-    kind = "array<struct<start:int,end:int,instance:string,left:string>>"
-    left = lambda g: F.lower(F.coalesce(F.nullif(F.regexp_extract(g, r"(\S+)\s+$", 1), F.lit("")), F.lit("#")))
-    made = lambda a, b, m, g: F.struct(a.alias("start"), b.alias("end"), F.lower(m).alias("instance"), left(g).alias("left"))
-    found = _located(text, TOKEN, lambda m: F.length(_digits(m)) >= LEAST_DIGITS, made, kind)
-    right = lambda x: F.lower(F.coalesce(F.nullif(F.regexp_extract(F.substring(text, x["end"] + 1, F.lit(64)), r"^\s+([^\s0-9]+)(?=\s|$)", 1), F.lit("")), F.lit("#")))
-    with_right = F.transform(found, lambda x: F.struct(x["start"], x["end"], x["instance"], x["left"], right(x).alias("right")))
-    return F.when(text.rlike("[0-9]"), with_right).otherwise(F.array().cast(INSTANCE))
 
+def _edges(each: DataFrame) -> DataFrame:
+    pattern = F.explode(F.array(F.concat(F.lit("l:"), "left"), F.concat(F.lit("r:"), "right"))).alias("pattern")
+    return each.select("instance", pattern).where("pattern not in ('l:#', 'r:#')")
 
-def scored(mentions: DataFrame, rounds: int, support: float, threshold: float) -> DataFrame:
-    """instance of the unknown instances that confident patterns bring to the threshold; ``mentions(instance, left, right, known)``."""
-    graph = mentions.select("instance", F.col("known").cast("int").alias("known"), F.explode(F.array(F.concat(F.lit("l:"), "left"), F.concat(F.lit("r:"), "right"))).alias("pattern")).where("pattern not in ('l:#', 'r:#')")
-    graph = checkpointed(graph.groupBy("pattern", "instance").agg(F.max("known").alias("known")))
-    scores = graph.groupBy("instance").agg(F.max("known").cast("double").alias("seed")).withColumn("score", F.col("seed"))
+
+def scored(marked: DataFrame, rounds: int, support: float, threshold: float) -> DataFrame:
+    """instance of the unknown instances that confident patterns bring to the threshold.
+
+    Only patterns whose instances' scores sum up to ``support`` can be confident, so a round reads the corpus for the edges of
+    instances with a score and for all instances of such patterns; other edges can't matter."""
+    seeds = mentions(marked.where(F.contains("marked", F.lit(MARK)))).where("known")
+    touched = checkpointed(_edges(seeds).distinct())
+    scores = touched.select("instance").distinct().select("instance", F.lit(1.0).alias("seed"), F.lit(1.0).alias("score"))
     for _ in range(rounds):
-        patterns = graph.join(scores.select("instance", "score"), "instance").groupBy("pattern").agg(F.sum("score").alias("known"), F.count("*").alias("n"))
-        confident = patterns.where((F.col("known") >= support) & (F.col("known") >= threshold * F.col("n"))).select("pattern", F.least(F.col("known") / F.col("n"), F.lit(0.999)).alias("confidence"))
-        lifted = graph.join(confident, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("new"))
-        scores = checkpointed(scores.join(lifted, "instance", "left").select("instance", "seed", F.greatest("seed", F.coalesce("new", F.lit(0.0))).alias("score")))
+        known = touched.join(scores, "instance").groupBy("pattern").agg(F.sum("score").alias("known")).where(F.col("known") >= support)
+        slots = checkpointed(_edges(mentions(marked)).join(F.broadcast(checkpointed(known)), "pattern").distinct())
+        n = slots.groupBy("pattern").agg(F.count("*").alias("n"), F.max("known").alias("known"))
+        confident = n.where(F.col("known") >= threshold * F.col("n")).select("pattern", F.least(F.col("known") / F.col("n"), F.lit(0.999)).alias("confidence"))
+        lifted = slots.select("instance", "pattern").join(confident, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("new"))
+        before = scores.count()
+        joined = scores.join(lifted, "instance", "full").select("instance", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce("new", F.lit(0.0))).alias("score"))
+        fresh = checkpointed(joined.join(scores.select("instance"), "instance", "left_anti").select("instance"))
+        scores = checkpointed(joined)
+        if scores.count() == before:
+            break
+        touched = checkpointed(touched.union(_edges(mentions(marked).join(F.broadcast(fresh), "instance", "left_semi")).distinct()))
     return scores.where((F.col("seed") == 0) & (F.col("score") >= threshold)).select("instance")
 
 
@@ -108,14 +133,24 @@ def all_spans(docs: DataFrame, rounds: int = 3, support: float = 4.0, threshold:
     """row (hash of id and text), the id, base and spans (both ``array<struct<start,kind,end>>``, sorted) for every row."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.array_sort(F.concat(*(base_spans(body, k) for k in KINDS[:4])))
-    found = checkpointed(docs.select(F.xxhash64(key, text).alias("row"), F.col(key), base.alias("base"), instances(body).alias("found")))
-    each = found.where(F.size("found") > 0).select("row", "base", F.inline("found"))
-    each = checkpointed(each.select("row", "start", "end", "instance", "left", "right", F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))).alias("known")))
-    new = scored(each, rounds, support, threshold)
-    made = F.struct("start", F.lit(KINDS.index("context")).alias("kind"), "end")
-    extra = each.where("not known").join(new, "instance").groupBy("row").agg(F.collect_set(made).alias("extra"))
-    joined = found.select("row", key, "base").join(extra, "row", "left")
-    return joined.select("row", key, "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"))
+    based = docs.select(F.xxhash64(key, text).alias("row"), F.col(key), base.alias("base"), body.alias("body"))
+    found = checkpointed(based.select("row", key, "base", _marked(F.col("body"), F.col("base")).alias("marked")))
+    new = scored(found.select("row", "marked"), rounds, support, threshold)
+    hits = mentions(found.select("row", "marked")).where("not known").join(F.broadcast(new), "instance", "left_semi")
+    hits = checkpointed(hits.groupBy("row").agg(F.collect_set("i").alias("hits")))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["pos"] + F.length(F.replace(x["g"], F.lit(MARK)))
+        end = begin + F.length(F.replace(x["w"], F.lit(MARK)))
+        span = F.struct(begin.alias("start"), F.lit(KINDS.index("context")).alias("kind"), end.alias("end"))
+        out = F.when(F.array_contains("hits", acc["i"]), F.array_append(acc["out"], span)).otherwise(acc["out"])
+        return F.struct(end.alias("pos"), (acc["i"] + 1).alias("i"), out.alias("out"))
+
+    words, gaps = F.split("marked", r"\s+"), F.concat(F.array(F.lit("")), F.regexp_extract_all("marked", F.lit(r"\s+"), F.lit(0)))
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
+    extra = F.aggregate(F.arrays_zip(gaps.alias("g"), words.alias("w")), start, step, lambda acc: acc["out"])
+    joined = found.join(hits, "row", "left")
+    return joined.select("row", key, "base", F.when(F.col("hits").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", extra))).alias("spans"))
 
 
 def written(spans: Column) -> Column:

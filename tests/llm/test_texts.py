@@ -278,6 +278,13 @@ def test_context_finds_unseen_identifiers(spark):
     assert pii.findings(frame(spark, texts).where("false")).count() == 0
 
 
+def test_every_kind_is_a_seed_and_any_word_a_candidate(spark):
+    texts = [f"write to user{i}@mail.org  {' ' * 80}please" for i in range(40)] + [f"call +1 (017) 555-77{i} tonight" for i in range(10, 50)]
+    texts += ["😀 write  to ann(at)mail please", "call back-office tonight", "plain words only"]
+    got = {r["doc_id"]: r["spans"] for r in pii.findings(frame(spark, texts)).collect()}
+    assert got[80] == "context:12:23" and got[81] == "context:5:16" and got[82] == ""
+
+
 def test_pii_plan_has_no_python(spark):
     plan = pii.findings(frame(spark, ["a@b.c"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
