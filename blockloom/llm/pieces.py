@@ -6,18 +6,21 @@ a space, and the look-ahead after white space never sees the cut. Texts of any l
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
 SEGMENT = 1 << 18
+WAITING = 1 << 20
 CACHED_PIECES = 400_000
 CACHED_LENGTH = 48
 _SAFE = re.compile(r"(?<=\S) ")
 _RUN = re.compile(r"\s ")
-#: Marks that end a piece after letters are matches of their own, as a space or the text's end follows.
-_MARKS = frozenset(".,;:!?")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
+#: Symbols that are a match of their own between letters and a white space or the text's end.
+_SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def segments(text: str) -> Iterator[str]:
@@ -35,31 +38,80 @@ def split(segment: str) -> list[str]:
 
 
 class PieceEncoder:
-    """Token ids of texts as little-endian uint32 bytes. ``encode_pieces`` maps a list of pieces to such bytes."""
+    """Token ids of texts as little-endian uint32 bytes. ``encode_pieces`` maps a list of pieces to such bytes.
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], cache: dict[str, bytes] | None = None):
+    A piece is looked up in parts, so that more are alike: its lines, and symbols that follow a line's letters. The cache keeps
+    up to CACHED_PIECES of them for the life of the process; others are encoded once for each run of WAITING characters.
+    """
+
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]]):
         self.encode_pieces = encode_pieces
-        self.cache = {} if cache is None else cache
+        self.cache: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of the pieces with their leading space; a last mark after letters is encoded apart, so that more pieces are alike."""
-        cached = self.cache
-        new = [p for p in pieces if p not in cached]
-        stems = {p: p[:-1] for p in new if p[-1:] in _MARKS and p[:-1].isalpha()}
-        wanted = [s for s in dict.fromkeys(stems.get(p, p) for p in new) if s not in cached]
-        found = dict(zip(wanted, self.encode_pieces([" " + p for p in wanted]), strict=True)) if wanted else {}
-        for p, stem in stems.items():
-            if p[-1] not in self.marks:
-                self.marks[p[-1]] = self.encode_pieces([p[-1]])[0]
-            found[p] = (cached.get(stem) or found[stem]) + self.marks[p[-1]]
-        room = CACHED_PIECES - len(self.cache)
-        if room > len(found):
-            self.cache.update((p, ids) for p, ids in found.items() if len(p) <= CACHED_LENGTH)
+        """Ids of the pieces with their leading space."""
+        cache, others = self.cache, self.others
+        new = pieces.difference(cache)
+        old = pieces.difference(new)
+        found = dict(zip(old, map(cache.__getitem__, old), strict=True))
+        wanted, ended, lined, rest = {}, [], [], {}
+        for p in new:
+            if p.isalpha():
+                wanted[p] = None
+            elif (stem := p.rstrip(_SYMBOLS)).isalpha():
+                ended.append((p, stem))
+                if stem not in cache:
+                    wanted[stem] = None
+            elif "\n" in p and _LINES.fullmatch(p):
+                first, *lines = p.split("\n")
+                parts = [(first, first.rstrip(_SYMBOLS)), *(("\n" + x, "\n" + x.rstrip(_SYMBOLS)) for x in lines)]
+                parts = [(x, stem) if stem[i > 0 :].isalpha() else (x, x) for i, (x, stem) in enumerate(parts)]
+                lined.append((p, parts))
+                if (stem := parts[0][1]) not in cache:
+                    wanted[stem] = None
+                rest.update((stem, None) for _, stem in parts[1:] if stem not in others)
+            else:
+                wanted[p] = None
+        made = self.encode_pieces([*[" " + p for p in wanted], *rest])
+        found.update(zip(wanted, made, strict=False))
+        lines = dict(zip(rest, made[len(wanted) :], strict=True))
+        for p, stem in ended:
+            found[p] = (cache.get(stem) or found[stem]) + self._symbols(p[len(stem) :])
+        for p, parts in lined:
+            ids = [(cache.get(parts[0][1]) or found[parts[0][1]]), *(others.get(stem) or lines[stem] for _, stem in parts[1:])]
+            found[p] = b"".join([y for x, (part, stem) in zip(ids, parts, strict=True) for y in (x, self._symbols(part[len(stem) :]))])
+        room = CACHED_PIECES - len(cache) - len(others)
+        if room > len(wanted) + len(ended) + len(rest):
+            cache.update((p, found[p]) for p in wanted if len(p) <= CACHED_LENGTH)
+            cache.update((p, found[p]) for p, _ in ended if len(p) <= CACHED_LENGTH)
+            others.update((p, ids) for p, ids in lines.items() if len(p) <= CACHED_LENGTH)
+        elif room > 0:
+            cache.update((p, found[p]) for p in list(wanted)[:room] if len(p) <= CACHED_LENGTH)
         return found
 
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """One result for each text, in order."""
+    def _symbols(self, run: str) -> bytes:
+        if not run:
+            return b""
+        known = self.marks.get(run)
+        if known is None:
+            known = self.encode_pieces([run])[0]
+            if len(self.marks) < CACHED_PIECES and len(run) <= CACHED_LENGTH:
+                self.marks[run] = known
+        return known
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        """One result for each text, in order. Nothing here makes cycles, and a collector would walk the whole cache again and again."""
+        was_on = gc.isenabled()
+        gc.disable()
+        try:
+            return list(self._encoded(texts))
+        finally:
+            if was_on:
+                gc.enable()
+
+    def _encoded(self, texts: Iterable[str]) -> Iterator[bytes]:
         waiting: list[tuple[str, list[str]]] = []
         size = 0
         for text in texts:
@@ -71,7 +123,7 @@ class PieceEncoder:
             first, *rest = split(text)
             waiting.append((first, rest))
             size += len(text)
-            if size >= SEGMENT:
+            if size >= WAITING:
                 yield from self._flush(waiting)
                 waiting, size = [], 0
         yield from self._flush(waiting)
@@ -79,11 +131,10 @@ class PieceEncoder:
     def _flush(self, waiting: list[tuple[str, list[str]]]) -> Iterator[bytes]:
         if not waiting:
             return
-        found = self._known(set().union(*(rest for _, rest in waiting)))
+        found = self._known(set().union(*(rest for _, rest in waiting))).__getitem__
         heads = self.encode_pieces([first for first, _ in waiting])
-        get, also = self.cache.get, found.get
         for head, (_, rest) in zip(heads, waiting, strict=True):
-            yield head + b"".join([get(p) or also(p) for p in rest])
+            yield head + b"".join(map(found, rest))
 
     def _long(self, text: str) -> Iterator[bytes]:
         for i, segment in enumerate(segments(text)):
@@ -91,8 +142,7 @@ class PieceEncoder:
             if i == 0:
                 yield self.encode_pieces(pieces[:1])[0]
                 pieces = pieces[1:]
-            found = self._known(set(pieces))
-            yield b"".join([self.cache.get(p) or found[p] for p in pieces])
+            yield b"".join(map(self._known(set(pieces)).__getitem__, pieces))
 
 
 def list_array(buffers: list[bytes]):

@@ -3,13 +3,16 @@
 Each shard ``part-*.arrow`` has record batches of ``ids fixed_size_list<uint16 or uint32>[L]`` and
 ``mask fixed_size_list<bool>[L]`` (false: padding after the last token), so sequence j of a memory-mapped shard is found by
 arithmetic. ``part-*.docs.arrow`` says where in its shard each document begins. Shards follow ascending document ids.
-Files are written under a name of the task's attempt and then renamed, so a repeated task leaves whole files only.
-Null texts are empty; every document ends with the end id. Ties in the id keep all rows, in no fixed order among them.
+Files are named by the task's attempt, and the table of shards names those of the attempt that counted, so both files of a shard
+come from one attempt; what a lost or repeated attempt leaves is in no table. There is about one shard for each SHARD_BYTES of text.
+Null texts are empty; every document ends with the end id. Ties in the id keep all rows, in no fixed order among them. Rows with
+a null id come first and keep the null.
 Tables without rows give no shards, and reading gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,17 +26,22 @@ from blockloom.llm.storage import filesystem, process_cache
 
 ROWS = 512
 SEQUENCES = 256
+SHARD_BYTES = 16 << 20
 KINDS = {2: np.uint16, 4: np.uint32}
 
 
 class JsonTokenizer:
-    """The tokenizers library's encoder of one JSON file, by pieces; strings of special tokens are ordinary text."""
+    """The tokenizers library's encoder of one JSON file, by pieces.
 
-    def __init__(self, path: str):
+    As the library does by itself, strings of special tokens in a text become these tokens, unless ``special_as_text``. Special
+    tokens with white space in them need ``special_as_text``, as pieces end there.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.encoder = PieceEncoder(self._encode)
         probe = Tokenizer.from_file(path)
         self.size = probe.get_vocab_size()
@@ -41,20 +49,24 @@ class JsonTokenizer:
         self.lengths = np.zeros(self.size, np.int64)
         for token, i in probe.get_vocab(with_added_tokens=False).items():
             self.lengths[i] = len(token) if all(c in byte_of for c in token) else 0
+        for i, token in probe.get_added_tokens_decoder().items():
+            if not special_as_text and re.search(r"\s", token.content):
+                raise ValueError(f"special token {token.content!r} holds white space")
+            self.lengths[i] = len(token.content.encode())
 
     @classmethod
-    def get(cls, path: str) -> JsonTokenizer:
-        known = process_cache()
-        if ("tokenizers", path) not in known:
-            known["tokenizers", path] = cls(path)
-        return known["tokenizers", path]
+    def get(cls, path: str, special_as_text: bool = False) -> JsonTokenizer:
+        known, key = process_cache(), ("tokenizers", path, special_as_text)
+        if key not in known:
+            known[key] = cls(path, special_as_text)
+        return known[key]
 
     def _one_by_one(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Pieces that start with one space and end in another character are encoded joined, then cut by their bytes."""
-        joined = [p for p in pieces if p[0] == " " and not p[-1].isspace()] if all(pieces) else []
+        """Pieces that start with a space or line end, and end in neither, are encoded joined, then cut by their bytes."""
+        joined = [p for p in pieces if p[0] in " \n" and not p[-1].isspace()] if all(pieces) else []
         if len(joined) != len(pieces):
             return self._apart(pieces, joined)
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
@@ -73,7 +85,7 @@ class JsonTokenizer:
         return [known[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return list(self.encoder.encode(texts))
+        return self.encoder.encode(texts)
 
 
 def _byte_alphabet() -> set[str]:
@@ -82,19 +94,21 @@ def _byte_alphabet() -> set[str]:
     return {chr(b) for b in plain} | {chr(256 + i) for i in range(256 - len(plain))}
 
 
-def in_order(df: DataFrame, shards: int | None = None, key: str = "doc_id") -> DataFrame:
+def in_order(df: DataFrame, shards: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` in ranges of the key, sorted within; the ranges come from a sample of the keys. Rows with one key stay together."""
-    n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or 1 + (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SHARD_BYTES
     return df.repartitionByRange(n, key).sortWithinPartitions(key)
 
 
-def encode(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
-    """key and ``ids binary``: little-endian ids of ``width`` bytes each, the end id last. Keeps the order of rows."""
+def encode(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 2, special_as_text: bool = False) -> DataFrame:
+    """key and ``ids binary``: little-endian ids of ``width`` bytes each, the end id last. Keeps the order of rows.
+
+    With ``special_as_text`` the strings of special tokens are ordinary text; without, the library's own way is kept."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        tokenizer = JsonTokenizer.get(tokenizer_path)
+        tokenizer = JsonTokenizer.get(tokenizer_path, special_as_text)
         kind, end = KINDS[width], np.array([end_id], np.uint32).tobytes()
         if max(tokenizer.size, end_id + 1) > 1 << 8 * width:
             raise ValueError(f"ids of this vocabulary need more than {width} bytes")
@@ -126,10 +140,10 @@ class _Shard:
         self.parts: list[np.ndarray] = []
         self.waiting = self.total = 0
 
-    def add(self, doc_ids: np.ndarray, rows: list[np.ndarray]) -> None:
+    def add(self, doc_ids, rows: list[np.ndarray]) -> None:
         counts = np.array([len(r) for r in rows], np.int64)
         begins = self.total + np.cumsum(counts) - counts
-        self.docs_writer.write_batch(self.pa.RecordBatch.from_arrays([self.pa.array(doc_ids, self.pa.int64()), self.pa.array(begins), self.pa.array(counts)], schema=self.docs_schema))
+        self.docs_writer.write_batch(self.pa.RecordBatch.from_arrays([doc_ids.cast(self.pa.int64()), self.pa.array(begins), self.pa.array(counts)], schema=self.docs_schema))
         self.total += int(counts.sum())
         self.parts += rows
         self.waiting += int(counts.sum())
@@ -166,23 +180,19 @@ def write(encoded: DataFrame, folder: str, length: int = 1024, key: str = "doc_i
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        part = f"part-{task.partitionId():06d}"
+        part = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         there, base = filesystem(folder)
         there.create_dir(base)
-        stem, shard = f"{base}/.{part}-{task.taskAttemptId()}", None
-        least = None
+        shard = least = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = [np.frombuffer(b, kind) for b in batch.column("ids").to_pylist()]
-            shard = shard or _Shard(there, stem, length, kind)
-            ids = batch.column(key).to_numpy(zero_copy_only=False)
-            least = int(ids[0]) if least is None else least
-            shard.add(ids, rows)
+            if shard is None:
+                shard, least = _Shard(there, f"{base}/{part}", length, kind), batch.column(key)[0].as_py()
+            shard.add(batch.column(key), rows)
         if shard:
             shard.close()
-            there.move(f"{stem}.docs.arrow", f"{base}/{part}.docs.arrow")
-            there.move(f"{stem}.arrow", f"{base}/{part}.arrow")
             yield pa.RecordBatch.from_pydict({"shard": [part], "least": [least], "n_tokens": [shard.total]}, schema=pa.schema([("shard", pa.string()), ("least", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = encoded.mapInArrow(run, "shard string, least bigint, n_tokens bigint").collect()
