@@ -1,7 +1,11 @@
-"""Connected components of a link table by repeated contraction, all of it in joins and grouped minima.
+"""Connected components of a link table by alternating star contraction, all of it in joins and grouped minima.
 
-Each round maps every node to the smallest of itself and its neighbours, follows that map once more, and relabels the links;
-links within one label go. The number of components that still have links at least halves in each round.
+A large star links every neighbour above a node to the least node around it, a small star links a node's neighbours below it, and
+the node itself, to their least. Both keep components as they are; together they halve the paths in every round, so chains of n
+links take about log n rounds. When each node hangs on one root only, the roots are the components' smallest ids.
+
+Each round's links are written as tables, so plans and size estimates don't grow with the rounds. Nodes with many links are
+looked up by broadcast (see :mod:`skew`); all other work is shuffled by node.
 """
 
 from __future__ import annotations
@@ -9,23 +13,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.storage import checkpointed
+from blockloom.llm.skew import lookup_join
+from blockloom.llm.storage import written
+
+
+def _least(ends: DataFrame) -> DataFrame:
+    """u, m (least of its neighbours), n (links) of the nodes of ``ends(u, v)``."""
+    return written(ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "components")
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """links(a > b): every neighbour above a node goes to the least of the node and its neighbours."""
+    ends = links.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    above = lookup_join(links.select(F.col("b").alias("u"), F.col("a").alias("v")), _least(ends), "u", "n")
+    return above.select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """links(a > b): a node and its neighbours below it go to the least of these."""
+    down = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    least = _least(down)
+    below = lookup_join(down, least, "u", "n").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return below.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` of every node of ``links(a, b)``; the component is its smallest id. Loops and nulls are ignored."""
-    ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = checkpointed(ordered.where("a < b").distinct())
-    labels = left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
-    while not left.isEmpty():
-        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("e")).select("e.*")
-        least = ends.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("p"))
-        least = checkpointed(least)
-        further = least.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        least = checkpointed(least.join(further, "p").select("v", F.col("pp").alias("p")))
-        labels = labels.join(least.select(F.col("v").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
-        labels = checkpointed(labels)
-        for end in ("a", "b"):
-            left = left.join(least.select(F.col("v").alias(end), F.col("p").alias("new")), end).drop(end).withColumnRenamed("new", end)
-        left = checkpointed(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    return labels
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+    while not now.isEmpty():
+        forked = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+        chained = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        if forked.isEmpty() and chained.isEmpty():
+            break
+        now = written(_small_star(written(_large_star(now), "components")), "components")
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

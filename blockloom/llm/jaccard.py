@@ -12,7 +12,7 @@ first n - ceil(n * num / den) + 1 tokens, their prefix. The steps:
    members that are not yet in one component are verified too.
 
 Step 3 covers every pair that step 2 left, so no component is missed; copies of one text meet only their head, so large groups
-cost few pairs. Only counts of frequent words are broadcast: at most MAX_WORDS of them, whatever the input.
+cost few pairs. Only counts of frequent words are broadcast, at most MAX_WORDS of them, and the hot keys of joins (see :mod:`skew`).
 
 Null and empty texts have an empty set and are linked with nothing. A text of fewer than k words has one shingle, all of it.
 Repeated rows give repeated results; rows with one id count as one document. Rows with a null id get themselves a null component.
@@ -29,11 +29,14 @@ from pyspark.sql import functions as F
 from blockloom.llm.bloom import build, member
 from blockloom.llm.components import components
 from blockloom.llm.hashing import Hasher, mix, sequences, whole
-from blockloom.llm.storage import checkpointed
+from blockloom.llm.skew import lookup_join
+from blockloom.llm.storage import checkpointed, written
 
 MAX_WORDS = 1 << 20
 LEAST_COUNT = 8
 LEAST_PARITY_BITS = 512
+#: A token's or a group's rows meet one another in blocks of about so many, each of which a task of its own may take.
+BLOCK_ROWS = 256
 #: Tokens of up to so many groups are paired at once; larger ones go by their head first. Both ways find the same components.
 SMALL = 4
 
@@ -183,12 +186,12 @@ def _may_match(num: int, den: int):
 
 
 def _postings(groups: DataFrame) -> DataFrame:
-    """token, gid, n, pos, head, small of the prefix tokens that at least two groups have.
+    """token, gid, n, pos, head, c (groups with the token) of the prefix tokens that at least two groups have.
 
     Tokens are counted first; a Bloom filter of the repeated ones then keeps most of the others from being shuffled again.
     """
     counts = groups.select("gid", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min("gid").alias("head"))
-    heads = checkpointed(counts.where("c > 1").select("token", "head", (F.col("c") <= SMALL).alias("small")))
+    heads = checkpointed(counts.where("c > 1"))
     repeated = groups.sparkSession.sparkContext.broadcast(build(heads.select("token")))
 
     def run(batches: Iterator) -> Iterator:
@@ -203,50 +206,102 @@ def _postings(groups: DataFrame) -> DataFrame:
             rows, tokens, pos = rows[keep], tokens[keep], (np.arange(len(tokens)) - (offsets - offsets[0])[rows])[keep]
             yield pa.RecordBatch.from_arrays([pa.array(tokens), batch.column("gid").take(pa.array(rows)), batch.column("n").take(pa.array(rows)).cast(pa.int32()), pa.array(pos.astype(np.int32))], names=["token", "gid", "n", "pos"])
 
-    return checkpointed(groups.select("gid", "n", "prefix").mapInArrow(run, "token bigint, gid bigint, n int, pos int").join(heads, "token"))
+    found = groups.select("gid", "n", "prefix").mapInArrow(run, "token bigint, gid bigint, n int, pos int")
+    return checkpointed(lookup_join(found, heads.withColumn("__c", F.col("c")), "token", "c").withColumnRenamed("__c", "c"))
 
 
-def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id (smallest id reachable by links, itself included) for every row of ``docs``."""
+def _blocks(rows: DataFrame, key: str, count: str, member_id: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` twice with ``block``: each row in one block of its key, and each row in every block of its key."""
+    n = F.ceil(F.col(count) / BLOCK_ROWS).cast("int")
+    return rows.withColumn("block", F.pmod(F.xxhash64(member_id), n).cast("int")), rows.withColumn("block", F.explode(F.sequence(F.lit(0), n - 1)))
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows; n, s1, s2, gid, rep of the classes; parities by id; first members of the groups with their prefix."""
     found = checkpointed(signatures(docs, frequent_words(docs, text), k, num, den, key, text))
     full = found.where("n > 0").where(F.col(key).isNotNull()).withColumn("id", F.col(key).cast("bigint"))
     classes = checkpointed(full.groupBy("n", "s1", "s2", "g").agg(F.min("id").alias("rep")))
     members = classes.join(classes.groupBy("n", "g").agg(F.min("rep").alias("gid")), ["n", "g"])
     members = checkpointed(members.select("n", "s1", "s2", "gid", "rep"))
-    parity = full.select("id", "n", "parity")
     groups = full.select("id", "n", "prefix").join(members.where("gid = rep").select(F.col("gid").alias("id"), "n"), ["id", "n"]).withColumnRenamed("id", "gid").dropDuplicates(["gid", "n"])
+    return found, members, full.select("id", "n", "parity"), groups
+
 
+def _crowded(pairs: DataFrame, member: DataFrame, crowds: DataFrame, condition, num: int, den: int) -> DataFrame:
+    """a, b: the members (gid, r, c, p, size) of both groups of ``pairs`` that meet ``condition`` and can be similar by their parities.
+
+    ``crowds(gid, m)`` counts the members of groups with more than one; large groups are met block by block."""
+    y = member.join(crowds, "gid", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    x = y.select(F.col("gid").alias("a"), *(F.col(c).alias(f"{c}a") for c in ("r", "c", "p", "size")))
+    y, _ = _blocks(y, "gid", "m", "r")
+    y = y.select(F.col("gid").alias("b"), "block", *(F.col(c).alias(f"{c}b") for c in ("r", "c", "p", "size")))
+    met = pairs.join(x, "a").join(crowds.select(F.col("gid").alias("b"), "m"), "b", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    _, met = _blocks(met, "b", "m", "b")
+    near = _near(F.col("pa"), F.col("pb"), F.col("sizea"), F.col("sizeb"), num, den)
+    return met.join(y, (met.b == y.b) & (met.block == y.block) & condition & near).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
+def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id (smallest id reachable by links, itself included) for every row of ``docs``."""
+    found, members, parity, groups = _classes(docs, k, num, den, key, text)
     postings = _postings(groups)
-    l, r = postings.where("small").alias("l"), postings.where("small").alias("r")
+    small, large = postings.where(F.col("c") <= SMALL), postings.where(F.col("c") > SMALL)
+    l, r = small.alias("l"), small.alias("r")
     pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid"))).where(_may_match(num, den)).select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b"))
-    l, r = postings.where("not small and gid = head").alias("l"), postings.where("not small and gid <> head").alias("r")
-    stars = l.join(r, F.col("l.token") == F.col("r.token")).where(_may_match(num, den)).select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b"))
+    heads = large.where("gid = head").select("token", "c", *(F.col(x).alias(f"h{x}") for x in ("gid", "n", "pos")))
+    others = lookup_join(large.where("gid <> head").select("token", "gid", "n", "pos"), checkpointed(heads), "token", "c")
+    stars = others.select(F.struct(F.col("hn").alias("n"), F.col("hpos").alias("pos")).alias("l"), F.struct("n", "pos").alias("r"), "hgid", "gid").where(_may_match(num, den)).select(F.col("hgid").alias("a"), F.col("gid").alias("b"))
     inside = members.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     pairs = checkpointed(pairs.distinct())
     first = verified(docs, pairs.unionByName(stars).unionByName(inside).distinct(), parity, k, num, den, key, text)
 
     labels = components(first)
     members = checkpointed(members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", "gid", "rep", F.coalesce("component", "rep").alias("component")))
-    member = members.select("gid", F.col("rep").alias("r"), F.col("component").alias("c")).join(parity.select(F.col("id").alias("r"), F.col("n").alias("size"), F.col("parity").alias("p")), "r")
+    member = members.select("gid", F.col("rep").alias("r"), F.col("component").alias("c")).join(parity.select(F.col("id").alias("r"), F.col("n").alias("size"), F.col("parity").alias("p")).dropDuplicates(["r", "size"]), "r")
     member = checkpointed(member)
-    left = postings.where("not small").select("token", "gid", "n", "pos").join(members.select("gid", "rep", "component"), "gid")
-    open_tokens = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    left = checkpointed(left.join(open_tokens, "token").select("token", "n", "pos", F.col("rep").alias("r")).join(member.select("r", "c", "p"), "r"))
-    l, r = left.alias("l"), left.alias("r")
-    ordered = (F.col("l.token") == F.col("r.token")) & (F.col("l.c") < F.col("r.c"))
-    large = l.join(r, ordered & _may_match(num, den) & _near(F.col("l.p"), F.col("r.p"), F.col("l.n"), F.col("r.n"), num, den)).select(F.col("l.r").alias("a"), F.col("r.r").alias("b"))
-    crowds = members.groupBy("gid").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("m > 1")
+    left = large.select("token", "gid", "n", "pos").join(members.select("gid", "rep", "component"), "gid")
+    spread = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
+    open_tokens = checkpointed(spread.where("lo < hi").select("token", "m", F.col("m").alias("rows")))
+    left = lookup_join(left, open_tokens, "token", "m").select("token", "n", "pos", "rows", F.col("rep").alias("r"))
+    l, r = (x.alias(side) for x, side in zip(_blocks(checkpointed(left.join(member.select("r", "c", "p"), "r")), "token", "rows", "r"), "lr", strict=True))
+    ordered = (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.c") < F.col("r.c"))
+    met = l.join(r, ordered & _may_match(num, den) & _near(F.col("l.p"), F.col("r.p"), F.col("l.n"), F.col("r.n"), num, den)).select(F.col("l.r").alias("a"), F.col("r.r").alias("b"))
+    crowds = checkpointed(members.groupBy("gid").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("m > 1"))
     wide = pairs.join(crowds.select(F.col("gid").alias("a")), "a", "left_semi").unionByName(pairs.join(crowds.select(F.col("gid").alias("b")), "b", "left_semi").select("a", "b"))
     inside = crowds.where("lo < hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    x, y = (member.select(F.col("gid").alias(g), *(F.col(c).alias(f"{c}{g}") for c in ("r", "c", "p", "size"))) for g in ("a", "b"))
-    apart = (F.col("ca") != F.col("cb")) & _near(F.col("pa"), F.col("pb"), F.col("sizea"), F.col("sizeb"), num, den)
-    met = wide.unionByName(inside).distinct().join(x, "a")
-    crowd = met.join(y, (met.b == y.b) & apart).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    rest = large.unionByName(crowd).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowd = _crowded(wide.unionByName(inside).distinct(), member, crowds.select("gid", "m"), F.col("ca") != F.col("cb"), num, den)
+    rest = met.unionByName(crowd).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = verified(docs, rest, parity, k, num, den, key, text)
 
     labels = components(first.unionByName(second))
     by_class = members.select("n", "s1", "s2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = found.select(key, "n", "s1", "s2").join(by_class, ["n", "s1", "s2"], "left")
-    own = F.when(F.col(key).isNotNull(), F.coalesce(F.col("component"), F.col(key).cast("bigint")))
-    return out.select(key, F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return _by_row(found, by_class, "component", key).select(key, F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _by_row(found: DataFrame, by_class: DataFrame, column: str, key: str) -> DataFrame:
+    """key, n and ``column`` of the row's class; a row without a set gets its own id, one with a null id a null.
+
+    Large classes are looked up by broadcast, so that copies of one text don't meet in one task."""
+    kind = F.struct("n", "s1", "s2").alias("kind")
+    sizes = found.select(kind).groupBy("kind").agg(F.count("*").alias("rows"))
+    table = written(by_class.select(kind, column).join(sizes, "kind"), "classes")
+    out = lookup_join(found.select(F.col(key).alias("__key"), "n", kind), table, "kind", "rows", keep_all=True)
+    own = F.when(F.col("__key").isNotNull(), F.coalesce(F.col(column), F.col("__key").cast("bigint")))
+    return out.select(F.col("__key").alias(key), "n", own.alias(column))
+
+
+def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: ``a, b`` (a < b) of the classes of equal sets that are similar enough, and key, class_id of every row.
+
+    A class is named by its smallest id; rows of one class are linked without a pair. Unlike :func:`similarity_components` this
+    verifies every candidate pair, those within one component too."""
+    found, members, parity, groups = _classes(docs, k, num, den, key, text)
+    l, r = (x.alias(side) for x, side in zip(_blocks(_postings(groups), "token", "c", "gid"), "lr", strict=True))
+    same = (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.gid") < F.col("r.gid"))
+    pairs = l.join(r, same & _may_match(num, den)).select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b"))
+    crowds = checkpointed(members.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1"))
+    inside = crowds.select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    member = members.select("gid", F.col("rep").alias("r"), F.col("rep").alias("c")).join(parity.select(F.col("id").alias("r"), F.col("n").alias("size"), F.col("parity").alias("p")).dropDuplicates(["r", "size"]), "r")
+    met = _crowded(pairs.unionByName(inside).distinct(), checkpointed(member), crowds, F.col("ca") != F.col("cb"), num, den)
+    links = verified(docs, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), parity, k, num, den, key, text)
+    return links, _by_row(found, members.select("n", "s1", "s2", F.col("rep").alias("class_id")), "class_id", key).select(key, "class_id")

@@ -34,6 +34,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, kind: str = "table") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: lineage and the planner's size estimates start anew, which a
+    checkpoint's don't, so that loops can join such tables round after round."""
+    folder = new_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI or plain path, for use on executors as well."""
     from pyarrow import fs

@@ -84,14 +84,16 @@ def test_bpe_round_trip(spark):
     assert bpe.encode(df.where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_token_store(spark, tmp_path):
+@pytest.mark.parametrize("as_text", [True, False])
+def test_token_store(spark, tmp_path, as_text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    texts = [*corpus(), "<|endoftext|>", "a  b\n c"]
+    if as_text:
+        tokenizer.encode_special_tokens = True
+    texts = [*corpus(), "<|endoftext|>", "a  b\n c", "a <|endoftext|> b<|endoftext|>\nc  <|endoftext|>", "x.\nYes,\n***no***\n \"q\n", "w(1)\n\nz\r\ny\tz don't\nI'll!"]
     folder = (tmp_path / "t").as_uri()
-    shards = token_store.write(token_store.encode(token_store.in_order(frame(spark, texts), 3), TOKENIZER, 0), folder, length=16)
+    shards = token_store.write(token_store.encode(token_store.in_order(frame(spark, texts), 3), TOKENIZER, 0, special_as_text=as_text), folder, length=16)
     rows = {r["doc_id"]: r for r in token_store.checksums(token_store.read(spark, folder, shards)).collect()}
     start, flat = 0, []
     for i, t in enumerate(texts):
@@ -109,6 +111,30 @@ def test_token_store(spark, tmp_path):
     assert token_store.read(spark, (tmp_path / "e").as_uri(), none).count() == 0
 
 
+def test_token_store_with_null_and_tied_ids(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a b"), (2, "c"), (None, None), (2, "c d"), (-1, "")], "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
+    folder = (tmp_path / "n").as_uri()
+    rows = token_store.read(spark, folder, token_store.write(token_store.encode(token_store.in_order(df), TOKENIZER, 0), folder)).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in rows) == [("-1", 1), ("2", 2), ("2", 3), ("None", 1), ("None", 3)]
+    order = sorted(rows, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in order] == [None, None, -1, 2, 2] and order[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(order, order[1:], strict=False))
+
+
+def test_long_pieces_and_tiny_caches_change_nothing(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(pieces, "WAITING", 40)
+    monkeypatch.setattr(pieces, "SEGMENT", 60)
+    tokenizer, rng = Tokenizer.from_file(TOKENIZER), random.Random(3)
+    parts = ["the", "Naïve", "été,", "x.", "\n", " ", "  ", "\t", "don't", "12", "a\nb", "c.\nD,\nE", "***", "\u00a0", "日本", "q\"", "(w)"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    for room in (0, 5, 1000):
+        monkeypatch.setattr(pieces, "CACHED_PIECES", room)
+        got = token_store.JsonTokenizer(TOKENIZER).encode(texts)
+        assert [np.frombuffer(b, np.uint32).tolist() for b in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def brute_components(texts, k, num, den):
     sets = []
     for t in texts:
@@ -129,6 +155,7 @@ def brute_components(texts, k, num, den):
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (2, 50)])
 def test_similarity_components(spark, k, num, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
     rng = random.Random(k)
     texts = corpus(k, 50)
     base = [f"v{i}" for i in range(60)]
@@ -166,6 +193,52 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def test_long_chain_of_links_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    small_star = components._small_star
+    monkeypatch.setattr(components, "_small_star", lambda links: rounds.append(1) or small_star(links))
+    links = spark.range(10_000).selectExpr("id a", "id + 1 b")
+    found = components.components(links)
+    assert found.where("component <> 0").count() == 0 and found.count() == 10_001 and len(rounds) < 20
+
+
+def test_star_of_a_hot_node(spark):
+    links = spark.range(1, 4000).selectExpr("5000 a", "id b").unionByName(spark.range(6000, 6010).selectExpr("id a", "id + 1 b"))
+    found = components.components(links)
+    assert {tuple(r) for r in found.groupBy("component").count().collect()} == {(1, 4000), (6000, 11)}
+    assert components.components(links.where("false")).count() == 0
+
+
+def test_chain_of_near_copies_is_one_component(spark):
+    base = [f"v{i}" for i in range(150)]
+    texts = [" ".join([*base[: 150 - 2 * i], *(f"z{j}" for j in range(2 * i))]) for i in range(60)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similarity_components(frame(spark, texts), 5, 80, 100).collect()}
+    assert got == brute_components(texts, 5, 80, 100)
+
+
+def test_similar_classes_give_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
+    rng = random.Random(21)
+    base = [f"v{i}" for i in range(50)]
+    texts = corpus(5, 30)
+    for _ in range(20):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            copy[rng.randrange(50)] = f"u{rng.randrange(99)}"
+        texts.append(" ".join(copy))
+    links, classes = jaccard.similar_classes(frame(spark, texts), 3, 80, 100)
+    sets = {}
+    for i, t in enumerate(texts):
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[j : j + 3]) for j in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    least = {}
+    for i, x in sets.items():
+        least.setdefault(x, i)
+    assert {r["doc_id"]: r["class_id"] for r in classes.collect()} == {i: least[x] if x else i for i, x in sets.items()}
+    reps = [(i, x) for x, i in least.items() if x]
+    assert {tuple(r) for r in links.collect()} == {(min(i, j), max(i, j)) for i, x in reps for j, y in reps if i != j and 100 * len(x & y) >= 80 * len(x | y)}
+
+
 def test_repeated_windows(spark):
     rng = random.Random(4)
     passage = [f"p{i}" for i in range(70)]
