@@ -8,9 +8,10 @@ lie in them alone. Sampled k-mers are nodes; from one to the next in a document
 2. where every occurrence of a node goes on by one edge and every occurrence of that edge's end comes by it, a Spark join of the
    nodes links the two: repeated nonbranching paths. All occurrences of such a path are whole, so it repeats as a whole;
 3. in source coordinates, linked occurrences form long spans: every window inside a span is repeated. Windows with a repeated
-   node that reach over a span's end are hashed one by one and counted over all documents, which verifies them.
+   node that reach over a span's end are counted by 64-bit hashes with partial aggregates; those whose hash repeats are few, and
+   these are compared by 128 bits and joined back, hot windows by broadcast (see :mod:`skew`).
 
-Windows without a repeated node can't be repeated. Nothing is capped; hot windows are counted with partial aggregates.
+Windows without a repeated node can't be repeated. Nothing is capped.
 
 Null and empty texts have no words; texts shorter than the window lose none. Repeated rows are separate documents, so all their
 windows repeat. Null ids are kept as they are.
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 
 from blockloom.llm import bloom
 from blockloom.llm.hashing import _STEP, Hasher, mix, powers, sequences
-from blockloom.llm.storage import checkpointed
+from blockloom.llm.skew import lookup_join
+from blockloom.llm.storage import checkpointed, written
 
 KMER = 8
+SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
 def sampled(h: np.ndarray, window: int, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +90,7 @@ def _nodes(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _occurrences(rows: DataFrame, nodes: DataFrame, window: int) -> DataFrame:
-    """row, pos and node of the occurrences of ``nodes`` (and of few others)."""
+    """doc_id, row, pos and node of the occurrences of ``nodes`` (and of few others)."""
     bits = rows.sparkSession.sparkContext.broadcast(bloom.build(nodes))
 
     def run(batches: Iterator) -> Iterator:
@@ -95,7 +98,6 @@ def _occurrences(rows: DataFrame, nodes: DataFrame, window: int) -> DataFrame:
 
         hasher = Hasher(lower=False)
         for batch in batches:
-            keys = batch.column("row").to_numpy()
             at_rows, at_words, at_nodes = [], [], []
             for lo, _, h, at in hasher.documents(batch.column("text")):
                 for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), lo):
@@ -104,11 +106,13 @@ def _occurrences(rows: DataFrame, nodes: DataFrame, window: int) -> DataFrame:
                     if len(where) and (known := bloom.member(bits.value, found)).any():
                         at_words.append(where[known])
                         at_nodes.append(found[known])
-                        at_rows.append(np.full(len(at_nodes[-1]), keys[i]))
+                        at_rows.append(np.full(len(at_nodes[-1]), i))
             if at_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at_rows)), pa.array(np.concatenate(at_words).astype(np.int32)), pa.array(np.concatenate(at_nodes))], names=["row", "pos", "node"])
+                of = pa.array(np.concatenate(at_rows))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("row").take(of), pa.array(np.concatenate(at_words).astype(np.int32)), pa.array(np.concatenate(at_nodes))], names=["doc_id", "row", "pos", "node"])
 
-    return rows.select("row", "text").mapInArrow(run, "row bigint, pos int, node bigint")
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row bigint, pos int, node bigint")
 
 
 def _spans(marks: np.ndarray, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray]:
@@ -134,16 +138,26 @@ def _array(column, i: int) -> np.ndarray:
     return np.empty(0, np.int64) if value is None else value.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _open_windows(marked: DataFrame, window: int) -> DataFrame:
-    """row, start and hash of the windows with a repeated node that no span holds."""
+def _open_windows(marked: DataFrame, window: int, repeated=None) -> DataFrame:
+    """hash of the windows with a repeated node that no span holds. With a filter of ``repeated`` hashes only the windows that pass,
+    with doc_id, row, start and a second hash."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         hasher = Hasher(lower=False)
+        known = None if repeated is None else repeated.value
+
+        def made(batch, of: list, starts: list, first: list, second: list):
+            hashes = pa.array(np.concatenate(first))
+            if known is None:
+                return pa.RecordBatch.from_arrays([hashes], names=["hash"])
+            at = pa.array(np.concatenate(of))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(np.concatenate(starts)), hashes, pa.array(np.concatenate(second))], names=["doc_id", "row", "start", "hash", "second"])
+
         for batch in batches:
-            keys, column = batch.column("row").to_numpy(), batch.column("marks")
-            out: list[list[np.ndarray]] = [[], [], []]
+            column = batch.column("marks")
+            out: tuple[list, ...] = ([], [], [], [])
             size = 0
             for lo, _, h, at in hasher.documents(batch.column("text")):
                 for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), lo):
@@ -156,17 +170,25 @@ def _open_windows(marked: DataFrame, window: int) -> DataFrame:
                     long = ends - begins >= window
                     near &= ~_covered(n, begins[long], ends[long] - window + 1)
                     starts = np.flatnonzero(near)
+                    first = sequences(h[s:e], window)[starts].view(np.int64) if len(starts) else starts
+                    second = first
+                    if known is not None and len(starts):
+                        hit = bloom.member(known, first)
+                        starts, first = starts[hit], first[hit]
+                        second = sequences(mix(h[s:e] ^ SECOND), window)[starts].view(np.int64) if len(starts) else starts
                     if len(starts):
-                        for x, part in zip(out, (np.full(len(starts), keys[i]), starts, sequences(h[s:e], window)[starts].view(np.int64)), strict=True):
+                        for x, part in zip(out, (np.full(len(starts), i), starts, first, second), strict=True):
                             x.append(part)
                         size += len(starts)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["row", "start", "hash"])
-                    out, size = [[], [], []], 0
+                    yield made(batch, *out)
+                    out, size = ([], [], [], []), 0
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["row", "start", "hash"])
+                yield made(batch, *out)
 
-    return marked.select("row", "doc_id", "text", "marks").mapInArrow(run, "row bigint, start bigint, hash bigint")
+    kind = dict(marked.dtypes)["doc_id"]
+    schema = "hash bigint" if repeated is None else f"doc_id {kind}, row bigint, start bigint, hash bigint, second bigint"
+    return marked.select("doc_id", "row", "text", "marks").mapInArrow(run, schema)
 
 
 def _removed(batch_rows: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -205,19 +227,28 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept_text``): without the words of windows that also start elsewhere."""
     if window < 2 * KMER:
         raise ValueError(f"a window needs {2 * KMER} words")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("text"))
     nodes = _nodes(rows, window).groupBy("node").agg(
         F.count("*").alias("n"), F.min("following").alias("f"), F.max("following").alias("f2"), F.min("preceding").alias("p"), F.max("preceding").alias("p2")
     )
-    nodes = checkpointed(nodes.where("n > 1").select("node", F.when(F.col("f") == F.col("f2"), F.col("f")).alias("out"), F.when(F.col("p") == F.col("p2"), F.col("p")).alias("into")))
+    nodes = checkpointed(nodes.where("n > 1").select("node", "n", F.when(F.col("f") == F.col("f2"), F.col("f")).alias("out"), F.when(F.col("p") == F.col("p2"), F.col("p")).alias("into")))
     ways_in = nodes.where("into <> 0").select(F.col("into").alias("out"), F.lit(1).alias("linked"))
     linked = nodes.where("out <> 0").select("node", "out").join(ways_in, "out").select("node", "linked")
-    paths = nodes.select("node").join(linked, "node", "left")
-    marks = _occurrences(rows, nodes.select("node"), window).join(paths, "node").select("row", (F.col("pos") * 2 + F.coalesce("linked", F.lit(0))).alias("mark"))
-    marks = checkpointed(marks.groupBy("row").agg(F.array_sort(F.collect_set("mark")).alias("marks")))
-
-    keyed = rows.select("row", "doc_id", "text")
-    windows = _open_windows(keyed.join(marks, "row"), window)
-    repeated = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    hits = windows.join(repeated, "hash").groupBy("row").agg(F.collect_set("start").alias("hits"))
-    return _removed(keyed.join(marks, "row", "left").join(hits, "row", "left"), window, with_text)
+    paths = checkpointed(nodes.select("node", "n").join(linked, "node", "left").select("node", "n", F.coalesce("linked", F.lit(0)).alias("linked")))
+    marks = lookup_join(_occurrences(rows, nodes.select("node"), window), paths, "node", "n").select("doc_id", "row", (F.col("pos") * 2 + F.col("linked")).alias("mark"))
+    marks = checkpointed(marks.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("mark")).alias("marks")))
+
+    keyed = written(_with(rows, marks, "marks"), "marked")
+    repeated = _open_windows(keyed, window).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    passed = docs.sparkSession.sparkContext.broadcast(bloom.build(checkpointed(repeated)))
+    windows = written(_open_windows(keyed, window, passed).select("doc_id", "row", "start", F.struct("hash", "second").alias("window")), "windows")
+    again = checkpointed(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"))
+    hits = lookup_join(windows, again, "window", "n").groupBy("doc_id", "row").agg(F.collect_set("start").alias("hits"))
+    return _removed(_with(keyed, hits, "hits"), window, with_text)
+
+
+def _with(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a column of ``table``; both are keyed by id and hash of the text, so a hash need only differ within one id."""
+    r, t = rows.alias("r"), table.alias("t")
+    same = (F.col("r.row") == F.col("t.row")) & F.col("r.doc_id").eqNullSafe(F.col("t.doc_id"))
+    return r.join(t, same, "left").select("r.*", f"t.{column}")
