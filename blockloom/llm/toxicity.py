@@ -2,13 +2,16 @@
 
 Runs of more than SHARED bytes have counts of their own class (continuation counts below ORDER), with absolute discounts. What
 these leave goes on to shorter runs and at last to those of SHARED bytes, whose continuation counts both classes share, so an
-expression that is rare in one class falls back on the same estimate in both. The difference of the two log-likelihoods is divided by the length: of the whole text, and of its WINDOWS-byte windows at their
-highest. A logistic function of these makes the score.
+expression that is rare in one class falls back on the same estimate in both. The difference of the two log-likelihoods is
+divided by the length: of the whole text, and of its WINDOWS-byte windows at their highest. A logistic function of these makes
+the score.
 
-Every run of the counted rows is in the model, however rare, so the model grows with the input: it is made by Spark and lies in
-files of the shared folder, which scoring looks up by the distinct runs of a batch of texts. The logistic weights are fitted on
-at most about CALIBRATION rows, few enough to be broadcast, by a model that leaves these out; the model that scores counts all
-labelled training rows.
+Every run of the counted rows is in the model, however rare, so the model grows with the input. Runs are counted by a shuffle and
+then dealt into blocks by the two bytes before their last one: a run's contexts and the shorter runs that end like it hold the
+same two bytes, so one task makes all levels of a block and writes them as a file of the shared folder. Scoring looks up the
+distinct runs of a batch of texts block by block. Of one pair of bytes all runs lie in one block; these are distinct runs, which
+copies don't multiply. The logistic weights are fitted on at most about CALIBRATION rows, few enough to be broadcast, by a model
+that leaves these out; the model that scores counts all labelled training rows.
 
 Null and empty texts get the score of a text without evidence. Repeated rows get equal scores; rows without a label aren't
 learned from. Letters are compared in lower case, ASCII punctuation and white space as one space each.
@@ -17,15 +20,14 @@ learned from. Letters are compared in lower case, ASCII punctuation and white sp
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import bloom
-from blockloom.llm.hashing import mix, text_buffer
-from blockloom.llm.storage import checkpointed, filesystem, new_folder, process_cache
+from blockloom.llm.hashing import text_buffer
+from blockloom.llm.storage import filesystem, new_folder, process_cache, written
 
 ORDER = 6
 SHARED = 2
@@ -114,60 +116,48 @@ def _named(n: int, contexts: bool) -> int:
     return (2 * n + contexts) << 48
 
 
+def _mid(x: np.ndarray) -> np.ndarray:
+    """The two bytes before the last one of each run."""
+    return (x >> 8) & 0xFFFF
+
+
 class Model:
     """Log-likelihood ratios of the known runs of SHARED + 1 to ORDER bytes, and of what their contexts leave to shorter runs.
 
-    They lie in files of a shared folder, each with the sorted hashes that begin with the same ``bits`` bits and then their
-    values. Files are mapped where the folder is local; a process holds at most CACHED bytes of them.
+    They lie in files of a shared folder, one for each block of :func:`_mid` values: the sorted keys and then their values. Files
+    are mapped where the folder is local; a process holds at most CACHED bytes of them.
     """
 
-    def __init__(self, folder: str, bits: int, sizes: dict[int, int]):
-        self.folder, self.bits, self.sizes = folder, bits, sizes
+    def __init__(self, folder: str, blocks: np.ndarray, files: dict[int, tuple[str, int]]):
+        self.folder, self.blocks, self.files = folder, blocks, files
 
     def _block(self, number: int) -> tuple[np.ndarray, np.ndarray]:
         held = process_cache().setdefault("toxicity blocks", {})
-        name = f"{self.folder}/{number:06d}"
+        name, n = self.files[number]
+        name = f"{self.folder}/{name}"
         found = held.pop(name, None)
         if found is None:
             fs, path = filesystem(name)
             data = _contents(fs, path)
-            n = self.sizes[number]
             if len(data) != 12 * n:
                 raise OSError(f"{name}: {len(data)} bytes of {12 * n}")
-            found = np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.float32, n, 8 * n)
+            found = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float32, n, 8 * n)
             room = CACHED - 12 * n
             while held and sum(12 * len(h) for h, _ in held.values()) > room:
                 del held[next(iter(held))]
         held[name] = found
         return found
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values and whether each key is known."""
-        h = mix(keys.view(np.uint64))
-        order = np.argsort(h)
-        h = h[order]
-        values, known = np.zeros(len(h), np.float32), np.zeros(len(h), bool)
-        numbers, begins = np.unique(_block_of(h, self.bits), return_index=True)
-        for number, a, z in zip(numbers.tolist(), begins.tolist(), [*begins.tolist(), len(h)][1:], strict=True):
-            if number in self.sizes:
-                hashes, theirs = self._block(number)
-                at = np.minimum(np.searchsorted(hashes, h[a:z]), len(hashes) - 1)
-                known[order[a:z]] = hit = hashes[at] == h[a:z]
-                values[order[a:z]] = np.where(hit, theirs[at], 0)
-        return values, known
-
     def values(self, x: np.ndarray) -> np.ndarray:
         """log P(toxic) - log P(ordinary) of the last byte of each run."""
-        runs_, back = np.unique(x, return_inverse=True)
-        value, open_ = np.zeros(len(runs_), np.float32), np.arange(len(runs_))
-        for n in range(ORDER, SHARED, -1):
-            here = runs_[open_] & _mask(n)
-            ratio, known = self._find(here | _named(n, False))
-            value[open_[known]] += ratio[known]
-            open_, here = open_[~known], here[~known]
-            if not len(open_):
-                break
-            value[open_] += self._find((here >> 8) | _named(n, True))[0]
+        known, back = np.unique(x, return_inverse=True)
+        block = self.blocks[_mid(known)]
+        order = np.argsort(block, kind="stable")
+        numbers, begins = np.unique(block[order], return_index=True)
+        value = np.zeros(len(known), np.float32)
+        for number, a, z in zip(numbers.tolist(), begins.tolist(), [*begins.tolist(), len(known)][1:], strict=True):
+            if number in self.files:
+                value[order[a:z]] = _ratios(*self._block(number), known[order[a:z]])
         return value[back]
 
     def ratios(self, b: np.ndarray) -> np.ndarray:
@@ -175,6 +165,26 @@ class Model:
         return np.concatenate([np.empty(0, np.float32), *(self.values(runs(b[at : at + BATCH + ORDER - 1])) for at in range(0, len(b) - ORDER + 1, BATCH))])
 
 
+def _ratios(keys: np.ndarray, ratio: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Ratios of runs by the sorted keys of their block: of the longest known run, and what the contexts of longer ones leave."""
+
+    def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        return np.where(hit, ratio[at], 0), hit
+
+    value, open_ = np.zeros(len(x), np.float32), np.arange(len(x))
+    for n in range(ORDER, SHARED, -1):
+        here = x[open_] & _mask(n)
+        found, hit = find(here | _named(n, False))
+        value[open_] += found
+        open_, here = open_[~hit], here[~hit]
+        if not len(open_):
+            break
+        value[open_] += find((here >> 8) | _named(n, True))[0]
+    return value
+
+
 def _contents(fs, path: str):
     import pyarrow as pa
     from pyarrow import fs as pafs
@@ -186,21 +196,62 @@ def _contents(fs, path: str):
         return source.read_buffer()
 
 
-def _block_of(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+def _shared(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of all runs: the estimate of each run of SHARED bytes (at most 2^16), and the number of runs with each :func:`_mid`."""
+    key = F.col("run").bitwiseAND(F.lit(_mask(SHARED + 1)))
+    longer = table.where("toxic + ordinary > 0").groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    rows = longer.groupBy(F.col("key").bitwiseAND(F.lit(_mask(SHARED))).alias("key")).agg(F.count("*").alias("both")).toArrow()
+    mids = longer.groupBy(F.shiftright("key", 8).alias("mid")).agg(F.sum("n").alias("n")).toArrow()
+    share = np.full(1, 1 / 256)
+    count = np.zeros(1 << 16)
+    count[rows.column("key").to_numpy()] = rows.column("both").to_numpy()
+    for n in range(1, SHARED + 1):
+        keys = np.arange(1 << 8 * n)
+        kinds = (count > 0).reshape(-1, 1 << 8 * n).sum(axis=0) if n < SHARED else count
+        share = _level(keys, kinds.astype(np.float64), share[keys & _mask(n - 1)])[0]
+    sizes = np.zeros(1 << 16, np.int64)
+    sizes[mids.column("mid").to_numpy()] = mids.column("n").to_numpy()
+    return share, sizes
+
+
+def _dealt(sizes: np.ndarray) -> np.ndarray:
+    """A block for each :func:`_mid` value, of about BLOCK_ROWS runs or of one value."""
+    return (np.cumsum(sizes) - sizes) // BLOCK_ROWS
+
+
+def _levels(runs_: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of all levels of one block."""
+    levels = [(runs_, toxic.astype(np.float64), ordinary.astype(np.float64))]
+    for n in range(ORDER - 1, SHARED, -1):
+        longer, t, o = levels[-1]
+        keys, at = np.unique(longer & _mask(n), return_inverse=True)
+        levels.append((keys, np.bincount(at, t > 0, len(keys)), np.bincount(at, o > 0, len(keys))))
+    keys_, values = [], []
+    shorter, below = np.arange(1 << 8 * SHARED), (shared, shared)
+    for n, (keys, *counted) in enumerate(reversed(levels), SHARED + 1):
+        at = np.searchsorted(shorter, keys & _mask(n - 1))
+        (pt, contexts, lt), (po, _, lo) = (_level(keys, c, b[at]) for c, b in zip(counted, below, strict=True))
+        keys_ += [keys | _named(n, False), contexts | _named(n, True)]
+        values += [np.log(pt / po), np.log(lt / lo)]
+        shorter, below = keys, (pt, po)
+    keys, found = np.concatenate(keys_), np.concatenate(values).astype(np.float32)
+    order = np.argsort(keys)
+    return keys[order], found[order]
 
 
-def _stored(rows: DataFrame) -> Model:
-    """The model of ``rows(key, value)``, in files of about BLOCK_ROWS rows."""
-    n, folder = rows.count(), new_folder(rows.sparkSession, "toxicity")
-    bits = max(0, (n // BLOCK_ROWS).bit_length())
+def fit(table: DataFrame) -> Model:
+    """The model of all rows of :func:`counts`. The driver holds a number for each pair of bytes, and a row for each block."""
+    spark = table.sparkSession
+    shared, sizes = _shared(table)
+    blocks, folder = _dealt(sizes), new_folder(spark, "toxicity")
+    share = spark.sparkContext.broadcast((shared, blocks))
 
     def number(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            h = mix(batch.column("key").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(_block_of(h, bits)), pa.array(h.view(np.int64)), batch.column("value")], names=["block", "hash", "value"])
+            of = share.value[1][_mid(batch.column("run").to_numpy())]
+            yield pa.RecordBatch.from_arrays([pa.array(of), *(batch.column(c) for c in ("run", "toxic", "ordinary"))], names=["block", "run", "toxic", "ordinary"])
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -212,68 +263,31 @@ def _stored(rows: DataFrame) -> Model:
         here, parts = None, []
 
         def flush():
-            hashes, values = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.argsort(hashes)
-            with fs.open_output_stream(f"{path}/.{here:06d}-{attempt}") as sink:
-                sink.write(hashes[order].tobytes() + values[order].tobytes())
-            fs.move(f"{path}/.{here:06d}-{attempt}", f"{path}/{here:06d}")
-            return pa.RecordBatch.from_pydict({"block": [here], "n": [len(order)]})
+            keys, values = _levels(*(np.concatenate(c) for c in zip(*parts, strict=True)), share.value[0])
+            name = f"{here:06d}-{attempt}"
+            with fs.open_output_stream(f"{path}/{name}") as sink:
+                sink.write(keys.tobytes())
+                sink.write(values.tobytes())
+            return pa.RecordBatch.from_pydict({"block": [here], "name": [name], "n": [len(keys)], "runs": [sum(len(p[0]) for p in parts)]})
 
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            hashes, values = batch.column("hash").to_numpy().view(np.uint64), batch.column("value").to_numpy().astype(np.float32)
-            begins = np.flatnonzero(np.diff(blocks, prepend=-1)).tolist()
-            for a, z in zip(begins, [*begins, len(blocks)][1:], strict=True):
-                if here is not None and blocks[a] != here:
+            of, *columns = (batch.column(c).to_numpy() for c in ("block", "run", "toxic", "ordinary"))
+            begins = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+            for a, z in zip(begins, [*begins, len(of)][1:], strict=True):
+                if here is not None and of[a] != here:
                     yield flush()
                     parts = []
-                here = int(blocks[a])
-                parts.append((hashes[a:z], values[a:z]))
+                here = int(of[a])
+                parts.append([c[a:z] for c in columns])
         if parts:
             yield flush()
 
-    placed = rows.select("key", "value").mapInArrow(number, "block bigint, hash bigint, value double").repartition(1 << bits, "block").sortWithinPartitions("block")
-    sizes = {r["block"]: r["n"] for r in placed.mapInArrow(write, "block bigint, n bigint").collect()}
-    if sum(sizes.values()) != n:
-        raise OSError(f"{folder}: {sum(sizes.values())} rows of {n}")
-    return Model(folder, bits, sizes)
-
-
-def fit(table: DataFrame) -> Model:
-    """The model of all rows of :func:`counts`. Tables of more than SHARED bytes are made by windows over contexts and joins to
-    the next shorter runs; nothing but the shared counts (at most 2^16 rows) is held by the driver."""
-    spark = table.sparkSession
-    n_of = lambda c: F.sum((F.col(c) > 0).cast("bigint"))
-    levels = {ORDER: table.where("toxic + ordinary > 0").select(F.col("run").alias("key"), "toxic", "ordinary", F.lit(1).cast("bigint").alias("both"))}
-    for n in range(ORDER - 1, SHARED - 1, -1):
-        shorter = levels[n + 1].groupBy(F.col("key").bitwiseAND(F.lit(_mask(n))).alias("key"))
-        levels[n] = checkpointed(shorter.agg(n_of("toxic").alias("toxic"), n_of("ordinary").alias("ordinary"), F.count("*").alias("both")))
-
-    top = levels[SHARED].select("key", "both").toArrow()
-    keys, both = (top.column(c).to_numpy() for c in ("key", "both"))
-    chain = [(keys, both.astype(np.float64))]
-    for n in range(SHARED - 1, 0, -1):
-        shorter, ends = np.unique(chain[0][0] & _mask(n), return_inverse=True)
-        chain.insert(0, (shorter, np.bincount(ends, minlength=len(shorter)).astype(np.float64)))
-    share = np.full(len(chain[0][0]), 1 / 256)
-    for n, (keys, both) in enumerate(chain, 1):
-        share = _level(keys, both, share if n == 1 else share[np.searchsorted(chain[n - 2][0], keys & _mask(n - 1))])[0]
-    below = spark.createDataFrame(list(zip(keys.tolist(), share.tolist(), share.tolist(), strict=True)), "end bigint, below_toxic double, below_ordinary double")
-
-    found = []
-    for n in range(SHARED + 1, ORDER + 1):
-        same = Window.partitionBy("context")
-        rows = levels[n].select("key", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(_mask(n - 1))).alias("end"), "toxic", "ordinary")
-        for c in ("toxic", "ordinary"):
-            total, kinds = F.sum(c).over(same), n_of(c).over(same)
-            rows = rows.withColumn(f"total_{c}", total).withColumn(f"left_{c}", F.when(total > 0, DISCOUNT * kinds / total).otherwise(1.0))
-        own = lambda c: F.when(F.col(f"total_{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"total_{c}")).otherwise(0.0)
-        p = lambda c: (own(c) + F.col(f"left_{c}") * F.col(f"below_{c}")).alias(f"p_{c}")
-        made = checkpointed(rows.join(below, "end").select("key", "context", p("toxic"), p("ordinary"), F.log(F.col("left_toxic") / F.col("left_ordinary")).alias("rest")))
-        found.append(made.select((F.col("key") + F.lit(_named(n, False))).alias("key"), F.log(F.col("p_toxic") / F.col("p_ordinary")).alias("value")))
-        found.append(made.groupBy("context").agg(F.first("rest").alias("value")).select((F.col("context") + F.lit(_named(n, True))).alias("key"), "value"))
-        below = made.select(F.col("key").alias("end"), F.col("p_toxic").alias("below_toxic"), F.col("p_ordinary").alias("below_ordinary"))
-    return _stored(reduce(DataFrame.unionByName, found))
+    rows = table.where("toxic + ordinary > 0").select("run", "toxic", "ordinary").mapInArrow(number, "block bigint, run bigint, toxic bigint, ordinary bigint")
+    dealt = rows.repartition(int(blocks[-1]) + 1, "block").sortWithinPartitions("block")
+    files = dealt.mapInArrow(write, "block bigint, name string, n bigint, runs bigint").collect()
+    if sum(r["runs"] for r in files) != sizes.sum():
+        raise OSError(f"{folder}: {sum(r['runs'] for r in files)} runs of {sizes.sum()}")
+    return Model(folder, blocks, {r["block"]: (r["name"], r["n"]) for r in files})
 
 
 def _evidence(r: np.ndarray) -> list[float]:
@@ -360,10 +374,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n = labels.where(drawn < (1 << 18)).count()
     share = (1 << 18) if n <= CALIBRATION else (CALIBRATION << 18) // n
     held = labels.where(drawn < share)
-    others = checkpointed(counts(_labelled(docs, labels.where(drawn >= share), key, text), text))
+    others = written(counts(_labelled(docs, labels.where(drawn >= share), key, text), text), "runs")
     x, y = _evidence_rows(docs.select(key, text).join(F.broadcast(held.select(key, "toxic")), key), fit(others), text)
     both = others.unionByName(counts(_labelled(docs, held, key, text), text))
-    model = fit(checkpointed(both.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))))
+    model = fit(written(both.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "runs"))
     return model, _fit_logistic(x, y) if len(x) else np.zeros(len(WINDOWS) + 2)
 
 
