@@ -9,6 +9,9 @@ a pattern's confidence is the mean score of its instances, an instance's score t
 whose score reaches ``threshold``, with patterns seen on at least ``support`` seeds' worth of instances, become spans of kind
 ``context``.
 
+A pattern can only become confident if its distinct instances are few for its known score. Instances of one in SIEVE hash values are
+counted first: where these alone are too many the pattern is out, exactly, and its other instances are never shuffled.
+
 Null and empty texts have no spans. Repeated rows get the same spans. Offsets are code points, ends exclusive.
 """
 
@@ -17,8 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.storage import checkpointed
+from blockloom.llm.skew import lookup_join
+from blockloom.llm.storage import checkpointed, written as stored
 
+#: Instances are first counted for one in so many hash values.
+SIEVE = 64
+#: Tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
+MOST_BROADCAST = 1 << 19
+CHUNK = 256
 # Kinds in order.
 KINDS = ["email", "ip", "card", "phone", "context"]
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -53,51 +62,72 @@ TESTS = {
 }
 
 
-def _located(text: Column, pattern: str, test, made, kind: str) -> Column:
-    """``made(start, end, match, gaps, index)`` of the matches that pass; ``kind`` is the SQL type of the array."""
+def _folded(items: Column, state: dict[str, Column], step, kind: str, done=None) -> Column:
+    """The array of ``kind`` that ``step(state, item)`` makes: it gives the next state and a condition and value to add, which a
+    fold with one growing array would copy at each step; here CHUNK steps share a short array. ``done(state)`` adds a last value.
+
+    ``step`` returns (dict of the state's columns, condition, value)."""
+    empty = F.array().cast(f"array<{kind}>")
+    names = list(state)
+
+    def one(acc: Column, x: Column) -> Column:
+        new, adds, value = step(acc, x)
+        return F.struct(*(new[n].alias(n) for n in names), F.when(adds, F.array_append(acc["out"], value)).otherwise(acc["out"]).alias("out"))
+
+    def over(z: Column) -> Column:
+        def chunk(acc: Column, i: Column) -> Column:
+            inner = F.aggregate(F.slice(z, i * CHUNK + 1, F.lit(CHUNK)), F.struct(*(acc[n].alias(n) for n in names), empty.alias("out")), one)
+            return F.get(F.transform(F.array(inner), lambda y: F.struct(*(y[n].alias(n) for n in names), F.array_append(acc["all"], y["out"]).alias("all"))), F.lit(0))
+
+        start = F.struct(*(c.alias(n) for n, c in state.items()), F.array().cast(f"array<array<{kind}>>").alias("all"))
+        last = (lambda acc: F.flatten(acc["all"])) if done is None else (lambda acc: F.array_append(F.flatten(acc["all"]), done(acc)))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.greatest(F.size(z), F.lit(1)) - 1) / CHUNK).cast("int")), start, chunk, last)
+
+    return F.get(F.transform(F.array(items), over), F.lit(0))
+
+
+def _located(text: Column, pattern: str, test, number: int) -> Column:
+    """Spans of kind ``number``: the matches that pass the test."""
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        m = x["m"]
+    def step(acc: Column, x: Column):
         begin = acc["pos"] + F.length(x["g"])
-        end = begin + F.length(m)
-        return F.when(m.isNull(), acc).otherwise(F.struct(end.alias("pos"), (acc["i"] + 1).alias("i"), F.when(test(m), F.array_append(acc["out"], made(begin, end, m, x["g"]))).otherwise(acc["out"]).alias("out")))
+        end = begin + F.length(F.coalesce(x["m"], F.lit("")))
+        return {"pos": end}, x["m"].isNotNull() & test(F.coalesce(x["m"], F.lit(""))), F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("g"), matches.alias("m")), start, step, lambda acc: acc["out"])
+    return _folded(F.arrays_zip(gaps.alias("g"), matches.alias("m")), {"pos": F.lit(0)}, step, "struct<start:int,kind:int,end:int>")
 
 
 def base_spans(text: Column, kind: str) -> Column:
     """Spans of one base kind; texts without its hint are not searched."""
     number = KINDS.index(kind)
-    made = lambda a, b, m, g: F.struct(a.alias("start"), F.lit(number).alias("kind"), b.alias("end"))
     hint = text.rlike("[0-9]") if HINTS[kind] is None else F.contains(text, F.lit(HINTS[kind]))
     if kind in ("ip", "phone"):
         hint &= text.rlike("[0-9]")
-    return F.when(hint, _located(text, PATTERNS[kind], TESTS[kind], made, SPAN)).otherwise(F.array().cast(SPAN))
+    return F.when(hint, _located(text, PATTERNS[kind], TESTS[kind], number)).otherwise(F.array().cast(SPAN))
 
 
 def _marked(text: Column, base: Column) -> Column:
     """The text with MARK before each base span, or what of it no earlier span covers, and its spaces replaced."""
     clean = F.translate(text, JOINT + MARK, "\u0003\u0003")
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(acc: Column, s: Column):
         begin = F.greatest(s["start"], acc["pos"])
         before, span = F.substring(clean, acc["pos"] + 1, begin - acc["pos"]), F.substring(clean, begin + 1, s["end"] - begin)
-        made = F.struct(s["end"].alias("pos"), F.concat(acc["out"], before, F.lit(MARK), F.translate(span, " ", JOINT)).alias("out"))
-        return F.when(s["end"] <= acc["pos"], acc).otherwise(made)
+        return {"pos": F.greatest(s["end"], acc["pos"])}, s["end"] > acc["pos"], F.concat(before, F.lit(MARK), F.translate(span, " ", JOINT))
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.when(F.size(base) == 0, clean).otherwise(F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.substring(clean, acc["pos"] + 1, F.length(clean)))))
+    parts = _folded(base, {"pos": F.lit(0)}, step, "string", lambda acc: F.substring(clean, acc["pos"] + 1, F.length(clean)))
+    return F.when(F.size(base) == 0, clean).otherwise(F.array_join(parts, ""))
 
 
-def mentions(marked: DataFrame) -> DataFrame:
-    """row, i, instance, known, left, right of every word of ``marked(row, marked)``; words with a digit or span count as ``#``."""
-    words, edge = F.split("marked", r"\s+"), F.array(F.lit(""))
-    beside = F.arrays_zip(words.alias("w"), F.concat(edge, words).alias("l"), F.concat(F.slice(words, F.lit(2), F.size(words)), edge).alias("r"))
-    side = lambda c: F.when(F.col(c).isNull() | (F.col(c) == "") | F.col(c).rlike(f"[0-9{MARK}]"), "#").otherwise(F.lower(c))
-    each = marked.select("row", F.posexplode(beside).alias("i", "x")).select("row", "i", "x.*").where("w <> ''")
-    return each.select("row", "i", F.lower("w").alias("instance"), F.contains("w", F.lit(MARK)).alias("known"), side("l").alias("left"), side("r").alias("right"))
+def mentions(marked: DataFrame, *ids: str) -> DataFrame:
+    """ids, i, instance, known, left, right of every word of ``marked(marked)``; words with a digit or span count as ``#``."""
+    words, edge = F.split("marked", r"\s+"), F.array(F.lit("#"))
+    side = lambda w: F.when((w == "") | w.rlike(f"[0-9{MARK}]"), "#").otherwise(F.lower(w))
+    sided = marked.select(*ids, words.alias("w")).select(*ids, "w", F.transform("w", side).alias("s"))
+    beside = F.arrays_zip(F.col("w"), F.concat(edge, "s").alias("l"), F.concat(F.slice("s", F.lit(2), F.size("s")), edge).alias("r"))
+    each = sided.select(*ids, F.posexplode(beside).alias("i", "x")).select(*ids, "i", "x.*").where("w <> ''")
+    return each.select(*ids, "i", F.lower("w").alias("instance"), F.contains("w", F.lit(MARK)).alias("known"), F.col("l").alias("left"), F.col("r").alias("right"))
 
 
 def _edges(each: DataFrame) -> DataFrame:
@@ -105,51 +135,59 @@ def _edges(each: DataFrame) -> DataFrame:
     return each.select("instance", pattern).where("pattern not in ('l:#', 'r:#')")
 
 
+def _joined(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join with a checkpointed table that is broadcast if its size, which is counted, allows it."""
+    return rows.join(F.broadcast(table) if table.count() <= MOST_BROADCAST else table.hint("merge"), key, how)
+
+
 def scored(marked: DataFrame, rounds: int, support: float, threshold: float) -> DataFrame:
     """instance of the unknown instances that confident patterns bring to the threshold.
 
     Only patterns whose instances' scores sum up to ``support`` can be confident, so a round reads the corpus for the edges of
-    instances with a score and for all instances of such patterns; other edges can't matter."""
+    instances with a score and for all instances of such patterns that pass the sieve; other edges can't matter."""
     seeds = mentions(marked.where(F.contains("marked", F.lit(MARK)))).where("known")
     touched = checkpointed(_edges(seeds).distinct())
     scores = touched.select("instance").distinct().select("instance", F.lit(1.0).alias("seed"), F.lit(1.0).alias("score"))
     for _ in range(rounds):
         known = touched.join(scores, "instance").groupBy("pattern").agg(F.sum("score").alias("known")).where(F.col("known") >= support)
-        slots = checkpointed(_edges(mentions(marked)).join(F.broadcast(checkpointed(known)), "pattern").distinct())
+        known = stored(known, "patterns")
+        some = _edges(mentions(marked).where(F.pmod(F.xxhash64("instance"), F.lit(SIEVE)) == 0))
+        many = _joined(some, known, "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("n"), F.max("known").alias("known")).where(F.col("n") * threshold > F.col("known"))
+        known = stored(known.join(many, "pattern", "left_anti"), "patterns")
+        slots = stored(_joined(_edges(mentions(marked)), known, "pattern").distinct(), "slots")
         n = slots.groupBy("pattern").agg(F.count("*").alias("n"), F.max("known").alias("known"))
-        confident = n.where(F.col("known") >= threshold * F.col("n")).select("pattern", F.least(F.col("known") / F.col("n"), F.lit(0.999)).alias("confidence"))
-        lifted = slots.select("instance", "pattern").join(confident, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("new"))
-        before = scores.count()
+        confident = stored(n.where(F.col("known") >= threshold * F.col("n")).select("pattern", "n", F.least(F.col("known") / F.col("n"), F.lit(0.999)).alias("confidence")), "patterns")
+        lifted = lookup_join(slots.select("instance", "pattern"), confident, "pattern", "n").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("new"))
         joined = scores.join(lifted, "instance", "full").select("instance", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce("new", F.lit(0.0))).alias("score"))
-        fresh = checkpointed(joined.join(scores.select("instance"), "instance", "left_anti").select("instance"))
-        scores = checkpointed(joined)
-        if scores.count() == before:
+        after = stored(joined, "scores")
+        fresh = stored(after.join(scores.select("instance"), "instance", "left_anti").select("instance"), "instances")
+        scores = after
+        if fresh.isEmpty():
             break
-        touched = checkpointed(touched.union(_edges(mentions(marked).join(F.broadcast(fresh), "instance", "left_semi")).distinct()))
+        touched = stored(touched.union(_edges(_joined(mentions(marked), fresh, "instance", "left_semi")).distinct()), "edges")
     return scores.where((F.col("seed") == 0) & (F.col("score") >= threshold)).select("instance")
 
 
 def all_spans(docs: DataFrame, rounds: int = 3, support: float = 4.0, threshold: float = 0.9, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row (hash of id and text), the id, base and spans (both ``array<struct<start,kind,end>>``, sorted) for every row."""
+    """The id, row (hash of the text), base and spans (both ``array<struct<start,kind,end>>``, sorted) for every row."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.array_sort(F.concat(*(base_spans(body, k) for k in KINDS[:4])))
-    based = docs.select(F.xxhash64(key, text).alias("row"), F.col(key), base.alias("base"), body.alias("body"))
-    found = checkpointed(based.select("row", key, "base", _marked(F.col("body"), F.col("base")).alias("marked")))
-    new = scored(found.select("row", "marked"), rounds, support, threshold)
-    hits = mentions(found.select("row", "marked")).where("not known").join(F.broadcast(new), "instance", "left_semi")
-    hits = checkpointed(hits.groupBy("row").agg(F.collect_set("i").alias("hits")))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(F.replace(x["g"], F.lit(MARK)))
+    based = docs.select(F.xxhash64(text).alias("row"), F.col(key), base.alias("base"), body.alias("body"))
+    found = stored(based.select("row", key, "base", _marked(F.col("body"), F.col("base")).alias("marked")), "marked")
+    new = stored(scored(found.select("marked"), rounds, support, threshold), "instances")
+    hits = _joined(mentions(found, key, "row").where("not known"), new, "instance", "left_semi")
+    hits = stored(hits.groupBy(key, "row").agg(F.array_sort(F.collect_set("i")).alias("hits")), "hits")
+
+    def step(acc: Column, x: Column):
+        begin = acc["pos"] + F.length(F.replace(F.coalesce(x["g"], F.lit("")), F.lit(MARK)))
         end = begin + F.length(F.replace(x["w"], F.lit(MARK)))
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index("context")).alias("kind"), end.alias("end"))
-        out = F.when(F.array_contains("hits", acc["i"]), F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(end.alias("pos"), (acc["i"] + 1).alias("i"), out.alias("out"))
+        hit = F.coalesce(F.get("hits", acc["j"]) == acc["i"], F.lit(False))
+        return {"pos": end, "i": acc["i"] + 1, "j": acc["j"] + hit.cast("int")}, hit, F.struct(begin.alias("start"), F.lit(KINDS.index("context")).alias("kind"), end.alias("end"))
 
     words, gaps = F.split("marked", r"\s+"), F.concat(F.array(F.lit("")), F.regexp_extract_all("marked", F.lit(r"\s+"), F.lit(0)))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
-    extra = F.aggregate(F.arrays_zip(gaps.alias("g"), words.alias("w")), start, step, lambda acc: acc["out"])
-    joined = found.join(hits, "row", "left")
+    extra = _folded(F.arrays_zip(gaps.alias("g"), words.alias("w")), {"pos": F.lit(0), "i": F.lit(0), "j": F.lit(0)}, step, "struct<start:int,kind:int,end:int>")
+    f, h = found.alias("f"), hits.alias("h")
+    joined = f.join(h, (F.col("f.row") == F.col("h.row")) & F.col(f"f.{key}").eqNullSafe(F.col(f"h.{key}")), "left").select("f.*", "h.hits")
     return joined.select("row", key, "base", F.when(F.col("hits").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", extra))).alias("spans"))
 
 
@@ -171,18 +209,18 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", length: s
 
     A column ``length`` of changed texts is set anew.
     """
-    spans = all_spans(docs, key=key, text=text).where(F.size("spans") > 0).select("row", "spans").dropDuplicates(["row"])
+    spans = all_spans(docs, key=key, text=text).where(F.size("spans") > 0).select(key, "row", "spans").dropDuplicates([key, "row"])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     body = F.col(f"__doc.{text}")
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.concat(acc["out"], F.substring(body, acc["pos"] + 1, s["start"] - acc["pos"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], cut).otherwise(acc["out"]).alias("out"))
+    def step(acc: Column, s: Column):
+        cut = F.concat(F.substring(body, acc["pos"] + 1, s["start"] - acc["pos"]), F.get(names, s["kind"]))
+        return {"pos": F.greatest(acc["pos"], s["end"])}, s["start"] >= acc["pos"], cut
 
-    new = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["pos"] + 1, F.length(body))))
-    rows = docs.select(F.struct("*").alias("__doc"), F.xxhash64(key, text).alias("__row"))
-    joined = rows.join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left")
+    new = F.array_join(_folded(F.col("__spans"), {"pos": F.lit(0)}, step, "string", lambda acc: F.substring(body, acc["pos"] + 1, F.length(body))), "")
+    rows = docs.select(F.struct("*").alias("__doc"), F.col(key).alias("__key"), F.xxhash64(text).alias("__row"))
+    r, t = rows.alias("r"), spans.select(F.col(key).alias("__key"), F.col("row").alias("__row"), F.col("spans").alias("__spans")).alias("t")
+    joined = r.join(t, (F.col("r.__row") == F.col("t.__row")) & F.col("r.__key").eqNullSafe(F.col("t.__key")), "left").select("__doc", "__spans")
     with_new = joined.select("__doc", F.when(F.col("__spans").isNotNull(), new).alias("__new"))
     kept = {text: F.coalesce("__new", body)}
     if length in docs.columns:
