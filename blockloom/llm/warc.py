@@ -21,14 +21,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.storage import filesystem
+from blockloom.llm.skew import lookup_join
+from blockloom.llm.storage import checkpointed, filesystem
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RANGE = 16 << 20
 CHUNK = 1 << 20
-LARGEST_HEADER = 1 << 16
-#: Records over this size are taken for damage.
-LARGEST_RECORD = 1 << 30
 RECORDS_SCHEMA = (
     "path string, offset bigint, length bigint, gap string, record_type string, record_id string, target_uri string, "
     "payload_digest string, refers_to string, payload_bytes bigint, payload binary"
@@ -54,11 +52,13 @@ def record(page_id, url: str | None, payload: bytes, response_id=None, date: str
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """page_id, url, payload, response_id: which page each repeated payload of ``least_bytes`` or more refers to."""
+    """page_id, url, payload, response_id: which page each repeated payload of ``least_bytes`` or more refers to.
+
+    Copies of a frequent payload stay where they are: its response is looked up by broadcast."""
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     digests = pages.select(F.col(key).alias("page_id"), F.sha1(F.coalesce(F.col(payload).cast("binary"), F.lit(b""))).alias("sha1"), F.coalesce(F.octet_length(payload), F.lit(0)).alias("bytes"))
-    repeated = digests.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("response_id")).where("n > 1").select("sha1", "response_id")
-    joined = rows.withColumn("sha1", F.sha1("payload")).join(repeated, "sha1", "left")
+    repeated = digests.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("response_id")).where("n > 1")
+    joined = lookup_join(rows.withColumn("sha1", F.sha1("payload")), checkpointed(repeated), "sha1", "n", keep_all=True)
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id")).alias("response_id"))
 
 
@@ -115,7 +115,7 @@ class SalvageReader:
         """Content and length of the gzip member at an offset."""
         if self.bytes_at(at, 3) != b"\x1f\x8b\x08":
             raise Damaged("no gzip member")
-        unpacker, out, total, here = zlib.decompressobj(31), [], 0, at
+        unpacker, out, here = zlib.decompressobj(31), [], at
         while not unpacker.eof:
             chunk = self.bytes_at(here, min(1 << 16, self.size - here))
             if not chunk:
@@ -124,20 +124,21 @@ class SalvageReader:
                 out.append(unpacker.decompress(chunk))
             except zlib.error as e:
                 raise Damaged("gzip check failed") from e
-            total += len(out[-1])
-            if not out[0].startswith(b"WARC/"[: len(out[0])]) or total > LARGEST_RECORD:
+            if not out[0].startswith(b"WARC/"[: len(out[0])]):
                 raise Damaged("the member holds no record")
             here += len(chunk) - len(unpacker.unused_data)
         return b"".join(out), here - at
 
     def _plain(self, at: int) -> tuple[bytes, int]:
-        head = self.bytes_at(at, min(LARGEST_HEADER, self.size - at))
-        end = head.find(b"\r\n\r\n")
+        head, end, seen = self.bytes_at(at, min(1 << 16, self.size - at)), -1, 0
+        while (end := head.find(b"\r\n\r\n", seen)) < 0 and head.startswith(b"WARC/") and at + len(head) < self.size:
+            seen = max(0, len(head) - 3)
+            head = self.bytes_at(at, min(4 * len(head), self.size - at))
         length = re.search(rb"(?i)\r\nContent-Length: *(\d{1,12})\r\n", head[: end + 2]) if end > 0 else None
         if not head.startswith(b"WARC/") or not length:
             raise Damaged("no record header")
         n = end + 4 + int(length[1]) + 4
-        if n > LARGEST_RECORD or at + n > self.size:
+        if at + n > self.size:
             raise Damaged("the file ends in a record")
         return self.bytes_at(at, n), n
 
@@ -228,9 +229,15 @@ def read(spark: SparkSession, files: list[tuple[str, int]], with_payload: bool =
     return plan.repartition(max(1, len(ranges))).mapInArrow(run, RECORDS_SCHEMA)
 
 
-def page_ids(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records (not the gaps)."""
+def page_ids(records: DataFrame, whole: bool = True) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records.
+
+    A gap fails the job, as pages would be missing; unless ``whole``, gaps are left out. Ranges cover every byte of the files, each
+    of which is in a record or a gap, so without gaps all records are there."""
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("bigint")
-    return records.where("gap is null").select(
-        number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to")
-    )
+    if whole:
+        lost = F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "gap"))
+        records = records.withColumn("payload_bytes", F.when(F.col("gap").isNull(), F.col("payload_bytes")).otherwise(lost.cast("bigint")))
+    else:
+        records = records.where("gap is null")
+    return records.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
