@@ -1,8 +1,10 @@
 """Payloads as 8-bit grey PNG images in tar archives, and a Spark data source that reads such archives by byte ranges.
 
-``store`` writes a tar archive for each partition. The source ``payload_archives`` plans ranges of ``range_bytes`` over all
-archives of a folder; a range yields the members whose header begins in it, in Arrow batches of bounded size. Each member is
-read on its own from its offset, with ``attempts`` tries; one that stays unreadable gives a row with ``error`` and no payload.
+``store`` writes a tar archive for each partition, and beside it where the first member of each STEP bytes begins. The source
+``payload_archives`` plans ranges of about ``range_bytes`` over all archives of a folder that begin at members; in archives without
+such a list ranges begin anywhere, and look for their first header. A range yields the members whose header begins in it, in Arrow
+batches of bounded size. Each member is read on its own from its offset, with ``attempts`` tries; one that stays unreadable, or
+whose header is damaged, gives a row with ``error`` and no payload, and reading goes on at the next header that passes its check.
 
 Null texts are empty; every payload has zero bytes added up to a positive multiple of 64. Equal texts give equal images. Null
 ids are stored as ``none`` and read as null; repeated rows are stored as often as they come. No rows, no archives, no rows back.
@@ -27,6 +29,7 @@ UNIT = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MEMBERS_SCHEMA = "archive string, offset bigint, name string, media binary, error string"
 BATCH = 4 << 20
+STEP = 4 << 20
 
 
 def padded(data: bytes) -> bytes:
@@ -86,7 +89,7 @@ def store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text")
         there, base = filesystem(folder)
         there.create_dir(base)
         name, sink, n = f"part-{task.partitionId():06d}.tar", None, 0
-        draft = f"{base}/.{name}-{task.taskAttemptId()}"
+        draft, starts = f"{base}/.{name}-{task.taskAttemptId()}", []
         for batch in batches:
             for doc_id, value in zip(batch.column(0), batch.column(1), strict=True):
                 if sink is None:
@@ -96,11 +99,16 @@ def store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text")
                 image = to_image(padded(data), len(data))
                 member = tarfile.TarInfo(f"{doc_id.as_py() if doc_id.is_valid else 'none'}.png")
                 member.size = len(image)
+                if archive.offset >= len(starts) * STEP:
+                    starts += [archive.offset] * (archive.offset // STEP + 1 - len(starts))
                 archive.addfile(member, io.BytesIO(image))
                 n += 1
         if sink:
             archive.close()
             sink.close()
+            with there.open_output_stream(f"{draft}.starts") as index:
+                index.write(np.array(starts, "<i8").tobytes())
+            there.move(f"{draft}.starts", f"{base}/{name}.starts")
             there.move(draft, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
@@ -108,8 +116,8 @@ def store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text")
 
 
 class ArchiveRange(InputPartition):
-    def __init__(self, path: str, size: int, begin: int, end: int):
-        self.path, self.size, self.begin, self.end = path, size, begin, end
+    def __init__(self, path: str, size: int, begin: int, end: int, known: bool):
+        self.path, self.size, self.begin, self.end, self.known = path, size, begin, end, known
 
 
 class ArchiveReader(DataSourceReader):
@@ -124,8 +132,20 @@ class ArchiveReader(DataSourceReader):
 
         fs, base = filesystem(self.folder)
         prefix = self.folder.rstrip("/")
-        found = sorted((f.base_name, f.size) for f in fs.get_file_info(pafs.FileSelector(base)) if f.is_file and f.base_name.endswith(".tar") and not f.base_name.startswith("."))
-        return [ArchiveRange(f"{prefix}/{name}", size, a, min(a + self.range_bytes, size)) for name, size in found for a in range(0, size, self.range_bytes)] or [ArchiveRange("", 0, 0, 0)]
+        found = {f.base_name: f.size for f in fs.get_file_info(pafs.FileSelector(base)) if f.is_file and not f.base_name.startswith(".")}
+        planned = []
+        for name in sorted(n for n in found if n.endswith(".tar")):
+            size = found[name]
+            known = f"{name}.starts" in found
+            if known:
+                with fs.open_input_file(f"{base}/{name}.starts") as index:
+                    starts = np.frombuffer(index.read(), "<i8")
+                wanted = np.searchsorted(starts, np.arange(0, size, self.range_bytes), "left")
+                begins = sorted({0, *starts[wanted[wanted < len(starts)]].tolist()})
+            else:
+                begins = list(range(0, size, self.range_bytes))
+            planned += [ArchiveRange(f"{prefix}/{name}", size, a, z, known) for a, z in zip(begins, [*begins[1:], size], strict=True)]
+        return planned or [ArchiveRange("", 0, 0, 0, False)]
 
     def _bytes(self, path: str, at: int, n: int) -> bytes:
         for attempt in range(self.attempts):
@@ -169,17 +189,24 @@ class ArchiveReader(DataSourceReader):
                 ahead_at, ahead = a, self._bytes(p.path, a, min(max(n, BATCH), p.size - a))
             return ahead[a - ahead_at : a - ahead_at + n]
 
+        lost = None if p.known or not p.begin else -1  # -1: looking for the first header, which isn't damage
         while at < p.end and at + tarfile.BLOCKSIZE <= p.size:
+            member, why = None, "damaged header"
             try:
                 header = bytes_at(at, tarfile.BLOCKSIZE)
-                member = tarfile.TarInfo.frombuf(header, "utf-8", "surrogateescape")
-            except (tarfile.HeaderError, OSError):
-                at += tarfile.BLOCKSIZE
-                continue
-            if header[257:262] != b"ustar":
+                if header[257:262] == b"ustar":
+                    member = tarfile.TarInfo.frombuf(header, "utf-8", "surrogateescape")
+            except tarfile.HeaderError:
+                pass
+            except OSError as e:
+                why = str(e)[:200]
+            if member is None:
+                if lost is None and any(header if why == "damaged header" else b"1"):  # zeros end an archive
+                    lost = at
+                    yield at, None, None, why
                 at += tarfile.BLOCKSIZE
                 continue
-            begin = at + tarfile.BLOCKSIZE
+            lost, begin = None, at + tarfile.BLOCKSIZE
             try:
                 yield at, member.name, bytes_at(begin, member.size), None
             except OSError as e:
