@@ -16,7 +16,23 @@ from pyspark.sql import DataFrame
 from blockloom.llm.pieces import PieceEncoder, list_array
 from blockloom.llm.storage import process_cache
 
-ROWS = 512
+#: Texts of one Arrow batch are handled so many bytes at a time, or one by one.
+PART_BYTES = 8 << 20
+
+
+def parts(batch, column: str) -> Iterator:
+    """Slices of a batch whose values of a string or list column take about PART_BYTES, or of one row."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    values = batch.column(column)
+    size = pc.binary_length(values) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length(values)
+    ends = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 class Codec:
@@ -65,8 +81,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
 
         codec = Codec.get(ranks_path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in parts(batch, text):
                 ids = codec.encode([t or "" for t in part.column(text).to_pylist()])
                 counts = pa.array([len(b) // 4 for b in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), list_array(ids), counts], names=[*kept, "token_ids", "n_tokens"])
@@ -88,8 +103,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids")
 
         codec = Codec.get(ranks_path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in parts(batch, ids):
                 column = part.column(ids)
                 decoded = [codec.decode(_ids(column, i)) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(decoded, pa.binary())], names=[*kept, "decoded"])

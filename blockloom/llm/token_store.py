@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from blockloom.llm.bpe import parts
 from blockloom.llm.pieces import PieceEncoder
 from blockloom.llm.storage import filesystem, process_cache
 
@@ -113,8 +114,7 @@ def encode(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id",
         if max(tokenizer.size, end_id + 1) > 1 << 8 * width:
             raise ValueError(f"ids of this vocabulary need more than {width} bytes")
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in parts(batch, text):
                 ids = tokenizer.encode([t or "" for t in part.column(text).to_pylist()])
                 packed = pa.array([np.frombuffer(b + end, np.uint32).astype(kind).tobytes() for b in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(key), packed], names=[key, "ids"])
