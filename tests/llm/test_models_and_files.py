@@ -8,6 +8,7 @@ import random
 import zlib
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from blockloom.llm import media, quality, toxicity, warc
@@ -48,6 +49,36 @@ def test_quality_rules(spark):
     assert {r["score"] for r in quality.scored(odd, none).collect()} == {0.5}
 
 
+def test_quality_parts_equal_plain_python(spark):
+    """Rules against the rows they hold for, weights against the conditions of the lasso's optimum, the column against a sum."""
+    import numpy as np
+
+    rows = labelled(spark, "quality", 400)
+    names = quality.NAMES
+    table = rows.select("doc_id", "quality", *(c.alias(n) for n, c in quality.statistics(F.col("text")).items())).collect()
+    x = np.array([[r[n] for n in names] for r in table])
+    y = np.array([r["quality"] for r in table], float)
+    words = {r["doc_id"]: r["text"] for r in rows.collect()}
+    for r in table[:50]:
+        own = words[r["doc_id"]].split()
+        assert (r["words"], r["distinct"]) == (len(own), len(set(own)) / len(own)) and r["upper"] == sum(c.isupper() for c in words[r["doc_id"]]) / len(words[r["doc_id"]])
+    paths = quality._paths(x, y)
+    holds = lambda c, v: all(v[f] > t if greater else v[f] <= t for f, greater, t in c)
+    z = np.array([[float(holds(c, v)) for c in paths] for v in x])
+    assert all(min(z[:, j].sum(), 400 - z[:, j].sum()) >= 0 for j in range(len(paths))) and len(set(paths)) == len(paths)
+    weights, intercept = quality._lasso(z, y, quality.PENALTY, 4000)
+    p = 1 / (1 + np.exp(-(z @ weights + intercept)))
+    slope = z.T @ (p - y) / len(y)
+    assert abs((p - y).mean()) < 1e-4 and (np.abs(slope) < quality.PENALTY + 1e-4).all()
+    assert np.allclose(slope[np.abs(weights) > 1e-6], -np.sign(weights[np.abs(weights) > 1e-6]) * quality.PENALTY, atol=1e-4)
+    model = quality.fit(x, y)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(rows, model).collect()}
+    for r, v in zip(table, x, strict=True):
+        total = model.intercept + sum(w for c, w in model.rules if holds(c, v))
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-total))) < 1e-9
+    assert quality.scored(rows.where("false"), quality.train(rows.where("false"), rows.where("false"), "quality")).count() == 0
+
+
 def test_toxicity_models(spark):
     rows = labelled(spark, "toxic", 1200)
     train, test = rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0")
@@ -194,6 +225,9 @@ def test_warc_salvage(spark, tmp_path):
     open(damaged, "wb").write(data)
     again = warc.read(spark, [(f"file://{damaged}", len(data))]).orderBy("offset").collect()
     assert [(r["offset"], r["length"], r["gap"] is not None) for r in again] == [(r["offset"], r["length"], i == 2) for i, r in enumerate(rows)]
+    with pytest.raises(Exception, match="gap in"):
+        warc.page_ids(warc.read(spark, [(f"file://{damaged}", len(data))])).collect()
+    assert warc.page_ids(warc.read(spark, [(f"file://{damaged}", len(data))]), whole=False).count() == len(rows) - 1
     plain = b"junk\n" + warc.record(1, "u", b"one") + b"WARC/1.1\r\nbroken\r\n\r\n" + warc.record(2, "u", b"two")
     name = str(tmp_path / "p.warc")
     open(name, "wb").write(plain)
@@ -202,13 +236,21 @@ def test_warc_salvage(spark, tmp_path):
     assert sum(r["length"] for r in got) == len(plain)
 
 
+def test_warc_long_headers(spark, tmp_path):
+    plain = warc.record(1, "u" * 300_000, b"one") + warc.record(2, "u", b"two")
+    name = str(tmp_path / "h.warc")
+    open(name, "wb").write(plain)
+    assert [(r["page_id"], r["payload_bytes"]) for r in warc.page_ids(warc.read(spark, [(name, len(plain))])).orderBy("page_id").collect()] == [(1, 3), (2, 3)]
+
+
 TEXTS = [(1, "hello"), (2, "hello"), (3, None), (4, ""), (5, "é" * 3000), (6, "x" * 64), (None, "no id"), (7, "tail\0")]
 
 
-def test_media_round_trip(spark, tmp_path):
+def test_media_round_trip(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string").withColumn("media", F.lit("clash"))
     folder = (tmp_path / "m").as_uri()
     assert media.store(docs.repartition(2), folder) == len(TEXTS)
+    monkeypatch.setattr(media, "STEP", 1024)
     for size in (1 << 24, 1500):
         got = {r["doc_id"]: r for r in media.features(media.read(spark, folder, size)).collect()}
         assert len(got) == len(TEXTS)
@@ -227,6 +269,12 @@ def test_media_damage_and_empty(spark, tmp_path):
     data = bytearray((tmp_path / "m" / name).read_bytes())
     data[0:4] = b"\xff\xff\xff\xff"
     (tmp_path / "m" / name).write_bytes(data)
-    assert sorted(r["name"] for r in media.read(spark, (tmp_path / "m").as_uri()).collect()) == ["2.png", "3.png"]
+    for listed in (True, False):
+        found = media.read(spark, (tmp_path / "m").as_uri()).orderBy("offset").collect()
+        assert [(r["name"], r["error"]) for r in found] == [(None, "damaged header"), ("2.png", None), ("3.png", None)]
+        if listed:
+            os.remove(tmp_path / "m" / f"{name}.starts")
+    with pytest.raises(Exception, match="damaged header"):
+        media.features(media.read(spark, (tmp_path / "m").as_uri())).collect()
     media.store(docs.where("false"), (tmp_path / "e").as_uri())
     assert media.read(spark, (tmp_path / "e").as_uri()).count() == 0

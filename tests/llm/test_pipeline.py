@@ -13,7 +13,9 @@ def tables(spark, folder):
     words = [f"{a}{b}" for a in ("lo", "mi", "ra", "ten", "vo") for b in ("ka", "ri", "sun", "tel", "da")]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     item = " ".join(f"q{i}" for i in range(30))
-    docs = [(i, text(80)) for i in range(40)] + [(40 + i, " ".join(w.upper() + "!!" for w in text(60).split())) for i in range(20)]
+    # Both classes have texts of all lengths, so that only capitals and symbols tell junk.
+    size = lambda: rng.randrange(45, 110)
+    docs = [(i, text(size())) for i in range(40)] + [(40 + i, " ".join(w.upper() + "!!" for w in text(size()).split())) for i in range(20)]
     docs += [(60, docs[3][1] + " end"), (61, docs[4][1]), (62, text(40) + " " + item), (63, text(50) + " mail a@b.co now"), (64, None)]
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in docs]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
