@@ -53,7 +53,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each_group), ("decontamination", keep_clean), ("personal_data", redact), ("encoding", encode)]
 
-#: Learned rules and byte-level BPE can't be written in SQL; tests compare each stage with a brute-force version.
+#: Learned rules and byte-level BPE can't be written in SQL; tests compare the stages' operators with brute force, and what the stages
+#: keep with what was planted.
 ORACLE_SQL = None
 
 
