@@ -1,6 +1,6 @@
 """Bloom filters over long columns: a superset test that is small enough to broadcast whatever the input.
 
-A filter has 16 bits for each key, but MOST_BITS at most. Past MOST_BITS / 16 keys it lets more and more through, which costs
+A filter has 8 to 16 bits for each key, but MOST_BITS at most. Past MOST_BITS / 8 keys it lets more and more through, which costs
 shuffled rows and nothing else: every use joins exactly afterwards.
 """
 
@@ -24,7 +24,7 @@ def _positions(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def build(ids: DataFrame) -> np.ndarray:
     """The filter (bytes, lowest bit first) over the one long column of ``ids``; nulls are left out."""
-    size = min(max(1 << (16 * ids.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    size = min(max(1 << (8 * ids.count()).bit_length(), LEAST_BITS), MOST_BITS)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -243,12 +243,26 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
     passed = docs.sparkSession.sparkContext.broadcast(bloom.build(checkpointed(repeated)))
     windows = written(_open_windows(keyed, window, passed).select("doc_id", "row", "start", F.struct("hash", "second").alias("window")), "windows")
     again = checkpointed(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"))
-    hits = lookup_join(windows, again, "window", "n").groupBy("doc_id", "row").agg(F.collect_set("start").alias("hits"))
+    hits = checkpointed(lookup_join(windows, again, "window", "n").groupBy("doc_id", "row").agg(F.collect_set("start").alias("hits")))
     return _removed(_with(keyed, hits, "hits"), window, with_text)
 
 
 def _with(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``rows`` with a column of ``table``; both are keyed by id and hash of the text, so a hash need only differ within one id."""
-    r, t = rows.alias("r"), table.alias("t")
+    """``rows`` with a column of ``table``; both are keyed by id and hash of the text, so a hash need only differ within one id.
+
+    A filter of the table's hashes lets texts that aren't in it stay where they are."""
+    bits = rows.sparkSession.sparkContext.broadcast(bloom.build(table.select("row")))
+
+    def kept(inside: bool):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                yield batch.filter(pa.array(bloom.member(bits.value, batch.column("row").to_numpy()) == inside))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    r, t = kept(True).alias("r"), table.alias("t")
     same = (F.col("r.row") == F.col("t.row")) & F.col("r.doc_id").eqNullSafe(F.col("t.doc_id"))
-    return r.join(t, same, "left").select("r.*", f"t.{column}")
+    joined = r.join(t.hint("merge"), same, "left").select("r.*", f"t.{column}")
+    return joined.unionByName(kept(False).withColumn(column, F.lit(None).cast(table.schema[column].dataType)))
