@@ -18,6 +18,7 @@ from blockloom.functions import text as T
 from blockloom.operators import match, parse, validate
 from blockloom.sources import container, docx, docx_writer
 
+AUTHOR = "editor"
 OK, ERROR, NOT_FOUND, INVALID, CONFLICT = 0, 1, 2, 3, 4
 
 
@@ -100,7 +101,9 @@ def build(a: argparse.Namespace) -> int:
     content = container.texts(members).where("name = 'content.md'").select(F.lit(1).alias("doc_id"), F.lit(1).alias("version"), F.col("text").alias("content_md"))
     assets = members.where("safe and name like 'assets/%'").select(F.col("name").alias("image_path"), F.col("bytes").alias("asset"))
     blocks = parse.parse_blocks(content).join(assets, "image_path", "left")
-    row = docx_writer.build(blocks, date=_now(), notes=parse.footnote_definitions(content)).first()
+    old = container.structure_blocks(members).select("content_hash", "track_changes").where("track_changes is not null").dropDuplicates(["content_hash"])
+    blocks = blocks.join(old, "content_hash", "left")
+    row = docx_writer.build(blocks, author=getattr(a, "author", None) or AUTHOR, date=_now(), notes=parse.footnote_definitions(content)).first()
     if row is None:
         raise FileNotFoundError("content.md")
     out = a.output or os.path.splitext(a.input.rstrip("/"))[0] + ".docx"
@@ -152,7 +155,7 @@ def sync(a: argparse.Namespace) -> int:
         with open(draft, "w", encoding="utf-8") as f:
             json.dump(value, f, indent=2, ensure_ascii=False)
         os.replace(draft, os.path.join(a.input, name))
-    return build(argparse.Namespace(input=a.input, output=a.output)) if a.output else OK
+    return build(argparse.Namespace(input=a.input, output=a.output, author=a.author)) if a.output else OK
 
 
 def check(a: argparse.Namespace) -> int:
@@ -170,6 +173,13 @@ def check(a: argparse.Namespace) -> int:
         print(f"line {r['line']}: {r['error']}")
     for r in validate.track_changes(container.structure_blocks(members).withColumn("doc_id", F.lit(1))).toLocalIterator():
         print(f"{r['block_id']}: change {r['nth']}: {r['warning']}")
+    stored = container.structure_blocks(members).withColumn("doc_id", F.lit(1))
+    formats = container.table_formats(members).withColumn("doc_id", F.lit(1))
+    tables = stored.where("table_metadata is not null").select("doc_id", "block_id", "table_metadata.*")
+    known = parse.parse_blocks(content.select("doc_id", F.lit(1).alias("version"), "content_md"))
+    over = parse.oversize_tables(known).select("doc_id", "block_id", F.concat(F.lit("too many "), "exceeds").alias("warning"))
+    for r in validate.all_warnings(validate.tables(stored, tables, formats), over).toLocalIterator():
+        print(f"{r['block_id']}: {r['warning']}")
     print("valid")
     return OK
 
@@ -209,6 +219,8 @@ def main(argv: list[str] | None = None) -> int:
             v.add_argument("--force", action="store_true")
             v.add_argument("--pack", action="store_true")
             v.add_argument("--track-changes", action=argparse.BooleanOptionalAction)
+        if name in ("build", "sync"):
+            v.add_argument("--author", default=AUTHOR, help="author of changes that have none yet")
         if name in ("sync", "diff"):
             v.add_argument("--compat", action="store_true", help="compare with empty old contents")
     a = p.parse_args(argv)

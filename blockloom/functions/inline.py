@@ -141,3 +141,9 @@ def token_counter(encode):
 def approximate_tokens(text):
     """Without a vocabulary at hand: words, and single punctuation marks. An approximation, and named so."""
     return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"))).otherwise(0).cast("bigint")
+
+
+def register(spark) -> None:
+    """The functions that need Python, for use in SQL texts."""
+    for name, f in (("doc_similarity", similarity), ("doc_critic_segments", critic_segments), ("doc_inline_runs", _parsed_runs)):
+        spark.udf.register(name, f)

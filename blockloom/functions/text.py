@@ -14,6 +14,7 @@ INSERTION = r"(?d)\{\+\+(.+?)\+\+\}"
 DELETION = r"(?d)\{--(.+?)--\}"
 SUBSTITUTION = r"(?d)\{~~(.+?)~>(.+?)~~\}"
 CRITIC = rf"{INSERTION}|{DELETION.removeprefix('(?d)')}|{SUBSTITUTION.removeprefix('(?d)')}"
+CELL_EMPHASIS = r"(?d)\*\*.+?\*\*|\*[^*]+?\*"
 EMPHASIS = r"(?d)(\*{1,3})(.*?)\1"
 COLUMN_BREAK = "<!-- column-break -->"
 _SPACES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -151,7 +152,7 @@ def critic_segments(text: Column) -> Column:
         change = F.when(m.startswith("{++"), F.array(part("insertion", body))).when(m.startswith("{--"), F.array(part("deletion", body))).otherwise(both)
         return F.concat(F.when(x["g"] != "", F.array(part("text", x["g"]))).otherwise(F.array().cast(kind)), F.when(m.isNotNull(), change).otherwise(F.array().cast(kind)))
     found = F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), marks.alias("m")), made))
-    return F.when(F.size(found) == 0, F.array(part("text", text))).otherwise(found)
+    return F.when(~F.contains(text, F.lit("{")) | (text == ""), F.array(part("text", text))).otherwise(found)
 
 
 def critic_errors(line: Column) -> Column:
@@ -171,7 +172,7 @@ def render_kind(kind: Column, content: Column) -> Column:
 
 
 def cell_kind(text: Column) -> Column:
-    return F.when(has_criticmarkup(text), "critic").when(has_links(text), "link").when(text.rlike(EMPHASIS), "emphasis").otherwise("plain")
+    return F.when(has_criticmarkup(text), "critic").when(has_links(text), "link").when(text.rlike(CELL_EMPHASIS), "emphasis").otherwise("plain")
 
 
 def column_parts(text: Column) -> Column:
@@ -223,7 +224,7 @@ def image_problem(data: Column, extension: Column) -> Column:
     found = (
         F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("474946"), "gif")
         .when(head.startswith("424D"), "bmp").when(head.startswith("49492A00") | head.startswith("4D4D002A"), "tiff")
-        .when(head.startswith("D7CDC69A") | head.startswith("01000900"), "wmf").when(head.startswith("01000000"), "emf")
+        .when(head.startswith("D7CDC69A") | head.startswith("01000900") | head.startswith("02000900"), "wmf").when(head.startswith("01000000"), "emf")
     )
     wanted = F.when(F.lower(extension).isin("jpg", "jpeg"), "jpeg").when(F.lower(extension).isin("tif", "tiff"), "tiff").otherwise(F.lower(extension))
     return F.when(F.octet_length(data) > K.MAX_IMAGE_BYTES, "too large").when(found.isNull(), "unknown content").when(found != wanted, F.concat(F.lit("is "), found))

@@ -52,6 +52,12 @@ def rebuildable(results: DataFrame) -> DataFrame:
     return results.where(F.col("pipeline").isin("native", "pandoc"))
 
 
+def multi_turn(results: DataFrame) -> DataFrame:
+    """Tokens of all turns of a document with a pipeline, and their number; failed turns count nothing."""
+    good = results.where(F.coalesce("error", F.lit("")) == "")
+    return good.groupBy("pipeline", "document").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.count("*").alias("turns"))
+
+
 def apply_edit(content: Column, instruction: Column) -> Column:
     return F.concat(content, instruction)
 

@@ -91,7 +91,7 @@ def containers(members: DataFrame) -> DataFrame:
     return members.groupBy("path", "format").agg(F.array_sort(F.collect_set("name")).alias("files"), F.max("error").alias("error"))
 
 
-STRUCTURE = "struct<blocks:array<struct<id:string,type:string,docx_paragraph_index:int,content_start:int,content_end:int,content_hash:string,level:int,image_path:string,track_changes:array<struct<type:string,start:int,end:int,author:string,date:string,revision_id:string,deleted_text:string>>>>>"
+STRUCTURE = "struct<blocks:array<struct<id:string,type:string,docx_paragraph_index:int,content_start:int,content_end:int,content_hash:string,level:int,image_path:string,table_metadata:struct<rows:int,cols:int,merged_cells:array<struct<start_row:int,start_col:int,row_span:int,col_span:int>>>,track_changes:array<struct<type:string,start:int,end:int,author:string,date:string,revision_id:string,deleted_text:string>>>>>"
 
 
 def structure_blocks(members: DataFrame) -> DataFrame:
@@ -104,6 +104,12 @@ def structure_blocks(members: DataFrame) -> DataFrame:
     return rows.join(content, "path").withColumn("content", cut).drop("content_md")
 
 
+def table_formats(members: DataFrame) -> DataFrame:
+    """block_id, table_formatting (JSON) of the entries of styles.json."""
+    entries = texts(members).where("name = 'styles.json'").select(F.explode(F.from_json("text", "struct<block_styles:map<string,struct<table_formatting:string>>>")["block_styles"]).alias("block_id", "s"))
+    return entries.select("block_id", "s.table_formatting")
+
+
 def documents(blocks: DataFrame, styles: DataFrame, timestamp: str, source_file: str = "", source_hash: str = "", key: str = "doc_id", version_key: str = "format_version") -> DataFrame:
     """key, content_md, structure, styles, manifest (JSON texts) from block and style rows.
 

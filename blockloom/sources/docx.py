@@ -89,7 +89,7 @@ def _shape(pieces: Column, mode: Column) -> tuple[Column, Column]:
 
 
 def _gfm(cells: Column) -> Column:
-    """A table's markdown: merged cells repeat over their columns."""
+    """A table's markdown: merged cells repeat over their columns and rows."""
     line = lambda texts: F.concat(F.lit("| "), F.array_join(texts, " | "), F.lit(" |"))
     spread = lambda row: F.flatten(F.transform(row, lambda c: F.array_repeat(c, c["span"])))
     rows = F.transform(cells, lambda row: line(F.transform(spread(row), lambda c: c["text"])))
@@ -138,7 +138,7 @@ def blocks(found: DataFrame, track_changes: bool | None = None) -> DataFrame:
     rows = rows.select(
         "path", "ord", kind.alias("type"), content.alias("content"), "boxes", F.when(F.col("tag") == "p", F.coalesce("para", F.lit(0))).otherwise(-1).cast("int").alias("docx_paragraph_index"), level.cast("int").alias("level"),
         F.when(good, picture).alias("image_path"), F.when(good, F.col("image.bytes")).alias("asset"), some(spans).alias("inline_formatting"), some(changed).alias("track_changes"), some(refs).alias("footnote_references"),
-        F.when(F.col("tag") == "tbl", F.struct(F.size("cells").alias("rows"), F.aggregate(F.get("cells", F.lit(0)), F.lit(0), lambda a, c: a + c["span"]).alias("cols"), F.transform(F.get("cells", F.lit(0)), lambda c: c["align"]).alias("column_alignments"), "header_rows")).alias("table_metadata"),
+        F.when(F.col("tag") == "tbl", F.struct(F.size("cells").alias("rows"), F.aggregate(F.get("cells", F.lit(0)), F.lit(0), lambda a, c: a + c["span"]).alias("cols"), F.transform(F.get("cells", F.lit(0)), lambda c: c["align"]).alias("column_alignments"), "header_rows", F.col("merged").alias("merged_cells"))).alias("table_metadata"),
         F.when(F.col("image.chart"), F.struct(F.col("image.rel").alias("chart_rel_id"))).alias("chart_metadata"), "style", "align", "pieces", "cells", "widths", "table_style",
     )
     rows = rows.select("*", F.posexplode_outer("boxes").alias("box", "text_box_metadata"))

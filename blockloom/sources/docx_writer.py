@@ -28,7 +28,7 @@ class _Document:
         self.author, self.date, self.notes = author, date, notes
         self.links: list[str] = []
         self.used: list[str] = []
-        self.revision = 0
+        self.changes: list[dict] = []
 
     def run(self, text: str, bold: bool = False, italic: bool = False, tag: str = "t", extra: str = "") -> str:
         props = ("<w:b/>" if bold else "") + ("<w:i/>" if italic else "") + extra
@@ -39,14 +39,20 @@ class _Document:
         return "".join(self.run(x["text"], x["bold"], x["italic"]) for x in runs(text)) if text else ""
 
     def changed(self, text: str) -> str:
-        out = []
+        """Changes take author and date from those the block had: a deletion by its text (the last of equal ones), an insertion from
+        the first insertion. Ids count within the paragraph."""
+        out, revision = [], 0
+        gone = {c.get("deleted_text"): c for c in self.changes if c["type"] == "deletion"}
+        first = next((c for c in self.changes if c["type"] == "insertion"), {})
         for s in segments(text):
             if s["kind"] == "text":
                 out.append(self.run(s["text"]))
                 continue
-            self.revision += 1
+            revision += 1
+            known = first if s["kind"] == "insertion" else gone.get(s["text"], {})
+            author, date = known.get("author") or self.author, known.get("date") or self.date
             tag, name = ("t", "ins") if s["kind"] == "insertion" else ("delText", "del")
-            out.append(f'<w:{name} w:id="{self.revision}" w:author={quoteattr(self.author)} w:date={quoteattr(self.date)}>{self.run(s["text"], tag=tag)}</w:{name}>')
+            out.append(f'<w:{name} w:id="{revision}" w:author={quoteattr(author)} w:date={quoteattr(date)}>{self.run(s["text"], tag=tag)}</w:{name}>')
         return "".join(out)
 
     def linked(self, text: str) -> str:
@@ -127,6 +133,7 @@ def document(rows: list[dict], author: str = "editor", date: str = "1970-01-01T0
     media: list[tuple[str, bytes]] = []
     for r in rows:
         kind, content = r["type"], r["content"]
+        doc.changes = r.get("track_changes") or []
         if kind == "table":
             body.append(doc.table(content))
         elif kind == "heading":
@@ -176,12 +183,15 @@ def build(blocks: DataFrame, author: str = "editor", date: str = "1970-01-01T00:
     ``notes`` (key, note_id, content) are the note definitions, which aren't blocks of a parsed content.
     """
     asset = F.col("asset") if "asset" in blocks.columns else F.lit(None).cast("binary")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "type", "content", "level", "image_path", "asset")))
-    rows = blocks.select(key, "pos", "type", "content", F.col("level").cast("int").alias("level"), "image_path", asset.alias("asset"))
+    kept = "array<struct<type:string,author:string,date:string,deleted_text:string>>"
+    change = lambda t: F.struct(t["type"].alias("type"), t["author"].alias("author"), t["date"].alias("date"), t["deleted_text"].alias("deleted_text"))
+    changes = F.transform("track_changes", change).cast(kept) if "track_changes" in blocks.columns else F.lit(None).cast(kept)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "type", "content", "level", "image_path", "asset", "track_changes")))
+    rows = blocks.select(key, "pos", "type", "content", F.col("level").cast("int").alias("level"), "image_path", asset.alias("asset"), changes.alias("track_changes"))
     if notes is not None:
         line = F.concat(F.lit("[^"), F.col("note_id").cast("string"), F.lit("]: "), F.col("content"))
         empty = lambda t: F.lit(None).cast(t)
-        rows = rows.unionByName(notes.select(key, F.lit(2147483647).alias("pos"), F.lit("paragraph").alias("type"), line.alias("content"), empty("int").alias("level"), empty("string").alias("image_path"), empty("binary").alias("asset")))
+        rows = rows.unionByName(notes.select(key, F.lit(2147483647).alias("pos"), F.lit("paragraph").alias("type"), line.alias("content"), empty("int").alias("level"), empty("string").alias("image_path"), empty("binary").alias("asset"), empty(kept).alias("track_changes")))
     docs = rows.groupBy(key).agg(ordered.alias("rows"))
 
     def run(batches: Iterator) -> Iterator:

@@ -24,7 +24,7 @@ SECTION = "struct<column_count:int,column_spacing:int,equal_width:boolean,column
 ELEMENTS_SCHEMA = (
     "path string, ord int, tag string, style string, align string, is_list boolean, "
     f"pieces array<{PIECE}>, image struct<ext:string,bytes:binary,chart:boolean,rel:string>, boxes array<{BOX}>, "
-    f"cells array<array<{CELL}>>, widths array<double>, table_style string, header_rows int, section {SECTION}, "
+    f"cells array<array<{CELL}>>, merged array<struct<start_row:int,start_col:int,row_span:int,col_span:int>>, widths array<double>, table_style string, header_rows int, section {SECTION}, "
     "note struct<type:string,id:string,text:string>, variant string, page map<string,string>, error string"
 )
 
@@ -59,7 +59,7 @@ class Package:
 
 def _on(props: ET.Element | None, tag: str) -> bool:
     e = None if props is None else props.find(W + tag)
-    return e is not None and e.get(W + "val") not in ("0", "false", "none")
+    return e is not None and (e.get(W + "val") or "1").lower() not in ("0", "false", "none")
 
 
 def _integer(value: str | None, default: int | None = None) -> int | None:
@@ -120,7 +120,7 @@ def _image(paragraph: ET.Element, package: Package, part: str, rels: dict) -> di
     data = None if target is None or external else package.blob(part, target)
     if chart is None and data is None:
         return None
-    ext = "".join(c for c in (posixpath.splitext(target or "")[1][1:]) if c.isalnum() and c.isascii())[:10].lower() or "bin"
+    ext = "".join(c for c in (posixpath.splitext(target or "")[1][1:]) if c.isalnum() and c.isascii())[:10] or "bin"
     return {"ext": ext, "bytes": data, "chart": chart is not None, "rel": None if chart is None else chart.get(R + "id")}
 
 
@@ -177,6 +177,26 @@ def _borders(props: ET.Element | None) -> dict:
     return out
 
 
+def _merged(rows: list[list[dict]]) -> list[dict]:
+    """Cells over more than one row or column, by their first row and column; the cells they continue into get their text."""
+    found, above = [], {}
+    for r, cells in enumerate(rows):
+        at, now = 0, {}
+        for c in cells:
+            origin = above.get(at) if c["merge"] == "continue" else None
+            if origin is not None:
+                origin["row_span"] += 1
+                c["text"] = origin["text"]
+            elif c["merge"] is not None or c["span"] > 1:
+                origin = {"start_row": r, "start_col": at, "row_span": 1, "col_span": c["span"], "text": c["text"]}
+                found.append(origin)
+            if origin is not None and c["merge"] is not None:
+                now[at] = origin
+            at += c["span"]
+        above = now
+    return [{k: v for k, v in x.items() if k != "text"} for x in found if x["row_span"] > 1 or x["col_span"] > 1]
+
+
 def _table(table: ET.Element, rels: dict) -> dict:
     rows, header = [], 0
     counting = True
@@ -194,9 +214,10 @@ def _table(table: ET.Element, rels: dict) -> dict:
             align = {"center": "center", "right": "right", "end": "right"}.get(None if jc is None else jc.get(W + "val"), "left")
             cells.append({"text": _cell_text(tc, rels), "span": 1 if span is None else _integer(span.get(W + "val"), 1), "merge": None if merge is None else merge.get(W + "val", "continue"), "align": align, "fill": fill, "pattern": pattern, "borders": _borders(p)})
         rows.append(cells)
+    merged = _merged(rows)
     style = table.find(f"{W}tblPr/{W}tblStyle")
     widths = [round((_integer(g.get(W + "w"), 1440) or 1440) / 1440, 2) for g in table.iter(W + "gridCol")]
-    return {"cells": rows, "widths": widths, "table_style": None if style is None else style.get(W + "val"), "header_rows": max(1, header)}
+    return {"cells": rows, "merged": merged, "widths": widths, "table_style": None if style is None else style.get(W + "val"), "header_rows": max(1, header)}
 
 
 def _section(e: ET.Element) -> dict:

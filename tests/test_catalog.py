@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from blockloom.plans import catalog
+from blockloom.plans import catalog, more  # noqa: F401
 
 DATA = os.environ.get("BLOCKLOOM_TESTDATA", "/root/testdata/sf0.001")
 

@@ -104,3 +104,23 @@ def test_stream_of_versions(spark, tmp_path):
         versions.sync_stream(spark, source, state, changes, marks).awaitTermination()
     got = sorted((r["epoch"], r["change"], r["content"]) for r in spark.read.parquet(changes).collect())
     assert got == [(0, "added", "a"), (0, "added", "b"), (1, "added", "c is new"), (1, "removed", "b"), (1, "unchanged", "a")]
+
+
+def test_merged_cells_fold_and_repeat(spark):
+    cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+    rows = [cell("h", '<w:gridSpan w:val="2"/>') + cell("x"), cell("m", '<w:vMerge w:val="restart"/>') + cell("1") + cell("2"), cell("", "<w:vMerge/>") + cell("3") + cell("4")]
+    table = "<w:tbl>" + "".join(f"<w:tr>{r}</w:tr>" for r in rows) + "</w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{table}</w:body></w:document>')
+    (block,) = docx.blocks(docx.elements(spark.createDataFrame([("t", bytearray(out.getvalue()))], "path string, content binary"))).collect()
+    assert block["content"].split("\n")[2:] == ["| m | 1 | 2 |", "| m | 3 | 4 |"] and block["content"].startswith("| h | h | x |")
+    assert [tuple(m) for m in block["table_metadata"]["merged_cells"]] == [(0, 0, 1, 2), (1, 0, 2, 1)]
+
+
+def test_changes_keep_their_author(spark):
+    change = [{"type": "deletion", "author": "Bo", "date": "2020-01-01T00:00:00Z", "deleted_text": "out"}, {"type": "insertion", "author": "Cy", "date": "2021-01-01T00:00:00Z", "deleted_text": None}]
+    made = docx_writer.document([{"type": "paragraph", "content": "a {++in++}{--out--}{--else--}", "level": None, "image_path": None, "track_changes": change}, {"type": "paragraph", "content": "{++new++}", "level": None, "image_path": None}], "Ann", "2026-01-01T00:00:00Z")
+    rows = docx.blocks(docx.elements(spark.createDataFrame([("t", bytearray(made))], "path string, content binary"))).orderBy("pos").collect()
+    assert [(c["author"], c["revision_id"]) for c in rows[0]["track_changes"]] == [("Cy", "1"), ("Bo", "2"), ("Ann", "3")]
+    assert [(c["author"], c["revision_id"]) for c in rows[1]["track_changes"]] == [("Ann", "1")]
