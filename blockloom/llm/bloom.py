@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.hashing import mix
 
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 
 def _positions(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

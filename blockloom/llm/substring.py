@@ -191,11 +191,18 @@ def _open_windows(marked: DataFrame, window: int, repeated=None) -> DataFrame:
     return marked.select("doc_id", "row", "text", "marks").mapInArrow(run, schema)
 
 
-def _removed(batch_rows: DataFrame, window: int, with_text: bool) -> DataFrame:
+def _removed(batch_rows: DataFrame, window: int, with_text: bool, outside=None) -> DataFrame:
+    """Results of rows with ``marks`` and ``hits``; with a filter ``outside`` of those whose row it doesn't hold."""
+    for column, kind in (("marks", "array<int>"), ("hits", "array<bigint>")):
+        if column not in batch_rows.columns:
+            batch_rows = batch_rows.withColumn(column, F.lit(None).cast(kind))
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
+            if outside is not None:
+                batch = batch.filter(pa.array(~bloom.member(outside.value, batch.column("row").to_numpy())))
             marks, hits = batch.column("marks"), batch.column("hits")
             total, gone, digests, kept_texts = [], [], [], []
             for i, text in enumerate(batch.column("text")):
@@ -220,7 +227,7 @@ def _removed(batch_rows: DataFrame, window: int, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(out)])
 
     kind = dict(batch_rows.dtypes)["doc_id"]
-    return batch_rows.select("doc_id", "text", "marks", "hits").mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
+    return batch_rows.select("doc_id", "row", "text", "marks", "hits").mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -238,31 +245,30 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
     marks = lookup_join(_occurrences(rows, nodes.select("node"), window), paths, "node", "n").select("doc_id", "row", (F.col("pos") * 2 + F.col("linked")).alias("mark"))
     marks = checkpointed(marks.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("mark")).alias("marks")))
 
-    keyed = written(_with(rows, marks, "marks"), "marked")
+    held = lambda t: docs.sparkSession.sparkContext.broadcast(bloom.build(t.select("row")))
+    near = held(marks)
+    keyed = written(_with(rows, marks, "marks", near), "marked")
     repeated = _open_windows(keyed, window).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     passed = docs.sparkSession.sparkContext.broadcast(bloom.build(checkpointed(repeated)))
     windows = written(_open_windows(keyed, window, passed).select("doc_id", "row", "start", F.struct("hash", "second").alias("window")), "windows")
     again = checkpointed(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"))
     hits = checkpointed(lookup_join(windows, again, "window", "n").groupBy("doc_id", "row").agg(F.collect_set("start").alias("hits")))
-    return _removed(_with(keyed, hits, "hits"), window, with_text)
-
+    hit = held(hits)
+    whole = _removed(_with(keyed, hits, "hits", hit), window, with_text)
+    return whole.unionByName(_removed(keyed, window, with_text, hit)).unionByName(_removed(rows, window, with_text, near))
 
-def _with(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``rows`` with a column of ``table``; both are keyed by id and hash of the text, so a hash need only differ within one id.
 
-    A filter of the table's hashes lets texts that aren't in it stay where they are."""
-    bits = rows.sparkSession.sparkContext.broadcast(bloom.build(table.select("row")))
+def _with(rows: DataFrame, table: DataFrame, column: str, near) -> DataFrame:
+    """The rows that the filter ``near`` of the table's rows lets through, with a column of ``table``. Other texts stay where they are.
 
-    def kept(inside: bool):
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
+    Both are keyed by id and hash of the text, so a hash need only differ within one id."""
 
-            for batch in batches:
-                yield batch.filter(pa.array(bloom.member(bits.value, batch.column("row").to_numpy()) == inside))
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        return rows.mapInArrow(run, rows.schema)
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.member(near.value, batch.column("row").to_numpy())))
 
-    r, t = kept(True).alias("r"), table.alias("t")
+    r, t = rows.mapInArrow(run, rows.schema).alias("r"), table.alias("t")
     same = (F.col("r.row") == F.col("t.row")) & F.col("r.doc_id").eqNullSafe(F.col("t.doc_id"))
-    joined = r.join(t.hint("merge"), same, "left").select("r.*", f"t.{column}")
-    return joined.unionByName(kept(False).withColumn(column, F.lit(None).cast(table.schema[column].dataType)))
+    return r.join(t.hint("merge"), same, "left").select("r.*", f"t.{column}")
