@@ -115,3 +115,63 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_quality_rules": op7_quality_rules}
+
+
+# SQL for DuckDB of the operators that can be said in it, for whole results at small sizes: plain self-joins and recursion.
+ORACLE_SQL["op5_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.c >= 90 * (x.n + y.n - c.c)
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), components AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents JOIN components USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+ORACLE_SQL["op6_warc"] = r"""
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages
+), codes AS (
+    SELECT page_id, payload, [strpos('0123456789abcdef', hex[i]) - 1 FOR i IN range(1, 41)] AS h FROM payloads
+), bits AS (
+    SELECT page_id, payload, flatten([[(x // 8) % 2, (x // 4) % 2, (x // 2) % 2, x % 2] FOR x IN h]) AS b FROM codes
+), digests AS (
+    SELECT page_id, payload, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (16 * b[i] + 8 * b[i + 1] + 4 * b[i + 2] + 2 * b[i + 3] + b[i + 4] + 1)::BIGINT, 1) FOR i IN range(1, 161, 5)], '') AS digest FROM bits
+), last AS (
+    SELECT payload, max(page_id) AS response FROM payloads GROUP BY payload
+)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, digest AS payload_digest,
+    CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> response THEN response END AS refers_to
+FROM digests JOIN last USING (payload)
+"""
+
+ORACLE_SQL["op10_substring_dedup"] = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+    SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM places
+), repeated AS (
+    SELECT s FROM windows GROUP BY s HAVING count(*) > 1
+), covered AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM windows SEMI JOIN repeated USING (s)
+), every AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM every ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)
+"""
