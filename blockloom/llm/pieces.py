@@ -14,7 +14,7 @@ import numpy as np
 
 SEGMENT = 1 << 18
 WAITING = 1 << 20
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
 CACHED_LENGTH = 48
 _SAFE = re.compile(r"(?<=\S) ")
 _RUN = re.compile(r"\s ")
@@ -40,8 +40,9 @@ def split(segment: str) -> list[str]:
 class PieceEncoder:
     """Token ids of texts as little-endian uint32 bytes. ``encode_pieces`` maps a list of pieces to such bytes.
 
-    A piece is looked up in parts, so that more are alike: its lines, and symbols that follow a line's letters. The cache keeps
-    up to CACHED_PIECES of them for the life of the process; others are encoded once for each run of WAITING characters.
+    A piece is looked up in parts, so that more are alike: its lines, and symbols that follow a line's letters. The cache lives as
+    long as the process. It is emptied before it would hold more than CACHED_PIECES, but always holds those of a run of WAITING
+    characters; pieces of more than CACHED_LENGTH characters leave it after each run.
     """
 
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]]):
@@ -50,12 +51,14 @@ class PieceEncoder:
         self.others: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
-    def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of the pieces with their leading space."""
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Bring the ids of the pieces, with their leading space, into the cache. Returns the long ones, to be forgotten after use."""
         cache, others = self.cache, self.others
         new = pieces.difference(cache)
-        old = pieces.difference(new)
-        found = dict(zip(old, map(cache.__getitem__, old), strict=True))
+        if len(cache) + len(others) + len(new) > CACHED_PIECES:
+            cache.clear()
+            others.clear()
+            new = pieces
         wanted, ended, lined, rest = {}, [], [], {}
         for p in new:
             if p.isalpha():
@@ -75,21 +78,20 @@ class PieceEncoder:
             else:
                 wanted[p] = None
         made = self.encode_pieces([*[" " + p for p in wanted], *rest])
-        found.update(zip(wanted, made, strict=False))
-        lines = dict(zip(rest, made[len(wanted) :], strict=True))
+        cache.update(zip(wanted, made, strict=False))
+        others.update(zip(rest, made[len(wanted) :], strict=True))
         for p, stem in ended:
-            found[p] = (cache.get(stem) or found[stem]) + self._symbols(p[len(stem) :])
+            cache[p] = cache[stem] + self._symbols(p[len(stem) :])
         for p, parts in lined:
-            ids = [(cache.get(parts[0][1]) or found[parts[0][1]]), *(others.get(stem) or lines[stem] for _, stem in parts[1:])]
-            found[p] = b"".join([y for x, (part, stem) in zip(ids, parts, strict=True) for y in (x, self._symbols(part[len(stem) :]))])
-        room = CACHED_PIECES - len(cache) - len(others)
-        if room > len(wanted) + len(ended) + len(rest):
-            cache.update((p, found[p]) for p in wanted if len(p) <= CACHED_LENGTH)
-            cache.update((p, found[p]) for p, _ in ended if len(p) <= CACHED_LENGTH)
-            others.update((p, ids) for p, ids in lines.items() if len(p) <= CACHED_LENGTH)
-        elif room > 0:
-            cache.update((p, found[p]) for p in list(wanted)[:room] if len(p) <= CACHED_LENGTH)
-        return found
+            ids = [cache[parts[0][1]], *(others[stem] for _, stem in parts[1:])]
+            cache[p] = b"".join([y for x, (part, stem) in zip(ids, parts, strict=True) for y in (x, self._symbols(part[len(stem) :]))])
+        for p in [p for p in rest if len(p) > CACHED_LENGTH]:
+            del others[p]
+        return [p for p in {*new, *wanted} if len(p) > CACHED_LENGTH]
+
+    def _forget(self, pieces: list[str]) -> None:
+        for p in pieces:
+            del self.cache[p]
 
     def _symbols(self, run: str) -> bytes:
         if not run:
@@ -131,10 +133,11 @@ class PieceEncoder:
     def _flush(self, waiting: list[tuple[str, list[str]]]) -> Iterator[bytes]:
         if not waiting:
             return
-        found = self._known(set().union(*(rest for _, rest in waiting))).__getitem__
-        heads = self.encode_pieces([first for first, _ in waiting])
+        long = self._learn(set().union(*(rest for _, rest in waiting)))
+        heads, found = self.encode_pieces([first for first, _ in waiting]), self.cache.__getitem__
         for head, (_, rest) in zip(heads, waiting, strict=True):
             yield head + b"".join(map(found, rest))
+        self._forget(long)
 
     def _long(self, text: str) -> Iterator[bytes]:
         for i, segment in enumerate(segments(text)):
@@ -142,7 +145,9 @@ class PieceEncoder:
             if i == 0:
                 yield self.encode_pieces(pieces[:1])[0]
                 pieces = pieces[1:]
-            yield b"".join(map(self._known(set(pieces)).__getitem__, pieces))
+            long = self._learn(set(pieces))
+            yield b"".join(map(self.cache.__getitem__, pieces))
+            self._forget(long)
 
 
 def list_array(buffers: list[bytes]):
