@@ -13,8 +13,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 
 SEGMENT = 1 << 18
-WAITING = 1 << 20
-CACHED_PIECES = 800_000
+WAITING = 4 << 20
+CACHED_PIECES = 400_000
 CACHED_LENGTH = 48
 _SAFE = re.compile(r"(?<=\S) ")
 _RUN = re.compile(r"\s ")

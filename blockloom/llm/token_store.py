@@ -44,13 +44,12 @@ class JsonTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.encoder = PieceEncoder(self._encode)
-        probe = Tokenizer.from_file(path)
-        self.size = probe.get_vocab_size()
+        self.size = self.tokenizer.get_vocab_size()
         byte_of = _byte_alphabet()
         self.lengths = np.zeros(self.size, np.int64)
-        for token, i in probe.get_vocab(with_added_tokens=False).items():
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.lengths[i] = len(token) if all(c in byte_of for c in token) else 0
-        for i, token in probe.get_added_tokens_decoder().items():
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
             if not special_as_text and re.search(r"\s", token.content):
                 raise ValueError(f"special token {token.content!r} holds white space")
             self.lengths[i] = len(token.content.encode())
