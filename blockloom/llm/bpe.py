@@ -17,7 +17,7 @@ from blockloom.llm.pieces import PieceEncoder, list_array
 from blockloom.llm.storage import process_cache
 
 #: Texts of one Arrow batch are handled so many bytes at a time, or one by one.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 
 def parts(batch, column: str) -> Iterator:

@@ -114,7 +114,7 @@ class PieceEncoder:
                 gc.enable()
 
     def _encoded(self, texts: Iterable[str]) -> Iterator[bytes]:
-        waiting: list[tuple[str, list[str]]] = []
+        waiting: list[str] = []
         size = 0
         for text in texts:
             if len(text) > SEGMENT:
@@ -122,20 +122,26 @@ class PieceEncoder:
                 waiting, size = [], 0
                 yield b"".join(self._long(text))
                 continue
-            first, *rest = split(text)
-            waiting.append((first, rest))
+            waiting.append(text)
             size += len(text)
             if size >= WAITING:
                 yield from self._flush(waiting)
                 waiting, size = [], 0
         yield from self._flush(waiting)
 
-    def _flush(self, waiting: list[tuple[str, list[str]]]) -> Iterator[bytes]:
-        if not waiting:
+    def _flush(self, waiting: list[str]) -> Iterator[bytes]:
+        """Texts are split twice, as all their pieces at once would take many times their size."""
+        heads, pieces = [], set()
+        for text in waiting:
+            first, *rest = split(text)
+            heads.append(first)
+            pieces.update(rest)
+        if not heads:
             return
-        long = self._learn(set().union(*(rest for _, rest in waiting)))
-        heads, found = self.encode_pieces([first for first, _ in waiting]), self.cache.__getitem__
-        for head, (_, rest) in zip(heads, waiting, strict=True):
+        long = self._learn(pieces)
+        found = self.cache.__getitem__
+        for head, text in zip(self.encode_pieces(heads), waiting, strict=True):
+            _, *rest = split(text)
             yield head + b"".join(map(found, rest))
         self._forget(long)
 

@@ -28,6 +28,8 @@ from blockloom.llm.storage import filesystem, process_cache
 ROWS = 512
 SEQUENCES = 256
 SHARD_BYTES = 16 << 20
+#: So many pieces are encoded at a time; what the library makes of them on the way takes many times their size.
+PIECES = 16384
 KINDS = {2: np.uint16, 4: np.uint32}
 
 
@@ -43,7 +45,7 @@ class JsonTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.encoder = PieceEncoder(self._encode)
+        self.encoder = PieceEncoder(lambda pieces: [ids for at in range(0, len(pieces), PIECES) for ids in self._encode(pieces[at : at + PIECES])])
         self.size = self.tokenizer.get_vocab_size()
         byte_of = _byte_alphabet()
         self.lengths = np.zeros(self.size, np.int64)
