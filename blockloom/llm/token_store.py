@@ -12,9 +12,10 @@ Tables without rows give no shards, and reading gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.bpe import parts
 from blockloom.llm.pieces import PieceEncoder
+from blockloom.llm.spans import SpanEncoder
 from blockloom.llm.storage import filesystem, process_cache
 
 ROWS = 512
@@ -36,6 +38,8 @@ KINDS = {2: np.uint16, 4: np.uint32}
 class JsonTokenizer:
     """The tokenizers library's encoder of one JSON file, by pieces.
 
+    Where the file splits texts by GPT-2's pattern and nothing else, texts are cut between its matches, many at once
+    (:mod:`blockloom.llm.spans`). Texts with strings of added tokens, and those of other files, are cut before spaces only.
     As the library does by itself, strings of special tokens in a text become these tokens, unless ``special_as_text``. Special
     tokens with white space in them need ``special_as_text``, as pieces end there.
     """
@@ -55,6 +59,11 @@ class JsonTokenizer:
             if not special_as_text and re.search(r"\s", token.content):
                 raise ValueError(f"special token {token.content!r} holds white space")
             self.lengths[i] = len(token.content.encode())
+        spec = json.loads(self.tokenizer.to_str())
+        rule = spec["pre_tokenizer"] or {}
+        self.by_pattern = spec["normalizer"] is None and rule.get("type") == "ByteLevel" and rule["use_regex"] and not rule["add_prefix_space"]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.spans = SpanEncoder(self._encode_spans)
 
     @classmethod
     def get(cls, path: str, special_as_text: bool = False) -> JsonTokenizer:
@@ -86,8 +95,67 @@ class JsonTokenizer:
         known.update(zip(rest, self._one_by_one(rest), strict=True))
         return [known[p] for p in pieces]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.encoder.encode(texts)
+    def _encode_spans(self, spans: list[bytes]) -> list[bytes]:
+        """Spans that begin with a space or line end are encoded joined, others with a line end between them, if they end in no
+        white space; then they are cut by their bytes. What is left is encoded one by one."""
+        ids, joined, apart = [b""] * len(spans), {b"": [], b"\n": []}, []
+        for i, p in enumerate(spans):
+            if _is_space(p, -1):
+                apart.append(i)
+            elif p[0] in b" \n":
+                joined[b""].append(i)
+            else:
+                (apart if _is_space(p, 0) else joined[b"\n"]).append(i)
+        for between, those in joined.items():
+            for at in range(0, len(those), PIECES):
+                some = those[at : at + PIECES]
+                made = self._joined([spans[i] for i in some], between)
+                if made is None:
+                    apart += some
+                else:
+                    for i, x in zip(some, made, strict=True):
+                        ids[i] = x
+        for at in range(0, len(apart), PIECES):
+            some = apart[at : at + PIECES]
+            for i, x in zip(some, self._one_by_one([spans[i].decode() for i in some]), strict=True):
+                ids[i] = x
+        return ids
+
+    def _joined(self, spans: list[bytes], between: bytes) -> list[bytes] | None:
+        """None if a token crosses a border."""
+        ids = np.array(self.tokenizer.encode_batch_fast([between.join(spans).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = np.fromiter(map(len, spans), np.int64, len(spans))
+        ends = np.cumsum(sizes + len(between)) - len(between)
+        at = np.append(0, np.cumsum(self.lengths[ids]))
+        first, last = np.searchsorted(at, ends - sizes), np.searchsorted(at, ends)
+        if at[-1] != ends[-1] or not (np.array_equal(at[first], ends - sizes) and np.array_equal(at[last], ends)):
+            return None
+        raw = ids.tobytes()
+        return [raw[a:z] for a, z in zip((4 * first).tolist(), (4 * last).tolist(), strict=True)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        import pyarrow as pa
+
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts) -> list[bytes]:
+        """Little-endian uint32 ids of each text of an Arrow array of strings; null texts are empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.by_pattern:
+            return self.encoder.encode([t or "" for t in texts.to_pylist()])
+        holds = np.zeros(len(texts), bool)
+        for token in self.added:
+            holds |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        plain = iter(self.spans.encode(texts.filter(pa.array(~holds))).to_numpy(zero_copy_only=False).tolist())
+        held = iter(self.encoder.encode(texts.filter(pa.array(holds)).to_pylist()))
+        return [next(held if h else plain) for h in holds.tolist()]
+
+
+def _is_space(span: bytes, at: int) -> bool:
+    """Is the first or last character (0 or -1) white space, or a control character that some count as such?"""
+    return span[at] < 33 or span[at] > 127 and span.decode()[at].isspace()
 
 
 def _byte_alphabet() -> set[str]:
@@ -96,6 +164,16 @@ def _byte_alphabet() -> set[str]:
     return {chr(b) for b in plain} | {chr(256 + i) for i in range(256 - len(plain))}
 
 
+def _mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``df.mapInArrow``. Straight over another result of this, both run in one Python process: Spark would take two for each task,
+    and as they change parts from task to task, both would come to hold the tokenizer and its caches."""
+    source, before = vars(df).get("_mapped_from", (df, None))
+    whole = run if before is None else lambda batches: run(before(batches))
+    out = source.mapInArrow(whole, schema)
+    out._mapped_from = source, whole
+    return out
+
+
 def in_order(df: DataFrame, shards: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` in ranges of the key, sorted within; the ranges come from a sample of the keys. Rows with one key stay together."""
     n = shards or 1 + (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SHARD_BYTES
@@ -116,12 +194,12 @@ def encode(df: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id",
             raise ValueError(f"ids of this vocabulary need more than {width} bytes")
         for batch in batches:
             for part in parts(batch, text):
-                ids = tokenizer.encode([t or "" for t in part.column(text).to_pylist()])
+                ids = tokenizer.encode_column(part.column(text))
                 packed = pa.array([np.frombuffer(b + end, np.uint32).astype(kind).tobytes() for b in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(key), packed], names=[key, "ids"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids binary")
+    return _mapped(df.select(key, text), run, f"`{key}` {kind}, ids binary")
 
 
 class _Shard:
@@ -196,7 +274,7 @@ def write(encoded: DataFrame, folder: str, length: int = 1024, key: str = "doc_i
             shard.close()
             yield pa.RecordBatch.from_pydict({"shard": [part], "least": [least], "n_tokens": [shard.total]}, schema=pa.schema([("shard", pa.string()), ("least", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = encoded.mapInArrow(run, "shard string, least bigint, n_tokens bigint").collect()
+    rows = _mapped(encoded, run, "shard string, least bigint, n_tokens bigint").collect()
     return spark.createDataFrame(rows, "shard string, least bigint, n_tokens bigint")
 
 
@@ -221,7 +299,7 @@ def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([d.column("doc_id")[lo:hi], pa.array(at[lo:hi] + begin), d.column("n_tokens")[lo:hi], ids], names=["doc_id", "start", "n_tokens", "ids"])
 
     n = max(1, shards.count())
-    return starts.repartition(n, "shard").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return _mapped(starts.repartition(n, "shard"), run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def _open(fs, path: str):
@@ -274,4 +352,4 @@ def checksums(read_back: DataFrame, width: int = 2) -> DataFrame:
             crcs = [zlib.crc32(np.frombuffer(b, kind).astype("<u4").tobytes()) for b in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_back.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return _mapped(read_back, run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

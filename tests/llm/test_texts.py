@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from blockloom.llm import bpe, components, decontaminate, hashing, jaccard, pieces, pii, substring, token_store
+from blockloom.llm import bpe, components, decontaminate, hashing, jaccard, pieces, pii, spans, substring, token_store
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -135,6 +135,78 @@ def test_long_pieces_and_tiny_caches_change_nothing(monkeypatch):
         assert [np.frombuffer(b, np.uint32).tolist() for b in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+ODD = ["the", "Naïve", "été,", "x.", " ", "  ", "\n", "\n\n", "\t", "\r\n", "don't", "'t", "''s", "'S", "12", "\u00b2", "a1b", "_", "***", "(w)", "\u00a0", "\u0085", "\u3000", "\u2003", "\u1680", "\u180e", "\u200b", "\u00d7", "\u00f7", "日本", "слово", "\u201cq\u201d", "e\u0301", "\u00aa", "\U0001f600", "\x1c", "\x7f", "\x00", "<|endoftext|>", "<|endof", "text|>", "\u017f", "\u0663", "\ufeff"]
+
+
+@pytest.mark.parametrize("as_text", [True, False])
+def test_spans_give_the_ids_of_whole_texts(monkeypatch, as_text):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(TOKENIZER)
+    whole.encode_special_tokens = as_text
+    for seed in range(8):
+        rng = random.Random(seed)
+        some = rng.sample(ODD, rng.randrange(2, len(ODD)))
+        texts = ["".join(rng.choice(some) + rng.choice(["", "", " "]) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, ""]
+        monkeypatch.setattr(spans, "BLOCK", rng.choice([3, 17, 64, 4 << 20]))
+        monkeypatch.setattr(spans, "GENERATION", rng.choice([0, 5, 300_000]))
+        monkeypatch.setattr(token_store, "PIECES", rng.choice([1, 7, 16384]))
+        want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        tokenizer = token_store.JsonTokenizer(TOKENIZER, as_text)
+        for _ in range(2):
+            got = tokenizer.encode_column(pa.array([None, "left out", *texts], pa.string()).slice(2))
+            assert [np.frombuffer(b, np.uint32).tolist() for b in got] == want
+        tokenizer.by_pattern = False
+        assert [np.frombuffer(b, np.uint32).tolist() for b in tokenizer.encode(texts)] == want
+    assert token_store.JsonTokenizer(TOKENIZER).encode([]) == []
+
+
+class _Counting:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.given += texts
+        return self.inner.encode_batch_fast(texts, **more)
+
+
+def test_the_library_gets_a_word_once_whatever_stands_around_it():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(200)]
+    around = ["{}", "({})", "{}.", "[{}],", "{}!!", "*{}*", "{0}\n{0}", '"{}"', "{}'s"]
+    texts = [" ".join(rng.choice(around).format(rng.choice(words)) for _ in range(500)) for _ in range(20)]
+    tokenizer = token_store.JsonTokenizer(TOKENIZER)
+    tokenizer.tokenizer = counting = _Counting(tokenizer.tokenizer)
+    got = tokenizer.encode(texts)
+    assert [np.frombuffer(b, np.uint32).tolist() for b in got] == [e.ids for e in counting.inner.encode_batch_fast(texts, add_special_tokens=False)]
+    assert sum(map(len, counting.given)) < 2 * 200 * 9 + 100
+
+
+def test_frequent_spans_stay_known_when_a_cache_is_full(monkeypatch):
+    monkeypatch.setattr(spans, "GENERATION", 60)
+    monkeypatch.setattr(pieces, "CACHED_PIECES", 120)
+    tokenizer = token_store.JsonTokenizer(TOKENIZER)
+    tokenizer.tokenizer = counting = _Counting(tokenizer.tokenizer)
+    for i in range(30):
+        tokenizer.encode([" ".join(["start", "common", *(f"{'xyz'[j % 3] * (j + 1)}{'abcdefghij'[i % 10] * (i // 10 + 1)}" for j in range(20))])])
+    assert sum(t.count("common") for t in counting.given) == 1
+    assert len(tokenizer.spans.young) <= 60 and len(tokenizer.spans.old) <= 60
+
+
+def test_token_store_takes_one_python_process_a_task(spark, tmp_path):
+    folder = (tmp_path / "p").as_uri()
+    encoded = token_store.encode(token_store.in_order(frame(spark, corpus()), 3), TOKENIZER, 0)
+    read_back = token_store.read(spark, folder, token_store.write(encoded, folder))
+    sums = token_store.checksums(read_back)
+    assert sums._jdf.queryExecution().toString().count("MapInArrow") == read_back._jdf.queryExecution().toString().count("MapInArrow")
+    ids = {r["doc_id"]: bytes(r["ids"]) for r in encoded.collect()}
+    assert {r["doc_id"]: bytes(r["ids"]) for r in read_back.collect()} == ids
+    assert {r["doc_id"]: r["ids_crc32"] for r in sums.collect()} == {i: zlib.crc32(np.frombuffer(b, np.uint16).astype("<u4").tobytes()) for i, b in ids.items()}
+
+
 def brute_components(texts, k, num, den):
     sets = []
     for t in texts:
