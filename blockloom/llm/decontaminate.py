@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from blockloom.llm.hashing import _STEP, Hasher, powers, sequences
+from blockloom.llm.storage import frugal
 
 BLOCK_BYTES = 16 << 20
 
@@ -185,7 +186,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresh
                 ids = batch.column(key).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[c] for r in rows], t) for c, t in ((1, item_type), (2, pa.int64()), (3, pa.int64()), (4, pa.float64())))], names=["doc_id", "item_id", "matched_words", "n_tiles", "coverage"])
 
-        return docs.select(key, text).mapInArrow(run, schema)
+        return docs.select(key, text).mapInArrow(frugal(run), schema)
 
     out = None
     for index in _blocks(benchmark, least, item_id, text):
@@ -205,5 +206,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5,
                 keep[[i for i, _ in index.value.documents(batch.column(text), threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(frugal(run), docs.schema)
     return docs

@@ -30,7 +30,7 @@ from blockloom.llm.bloom import build, member
 from blockloom.llm.components import components
 from blockloom.llm.hashing import Hasher, mix, sequences, whole
 from blockloom.llm.skew import lookup_join
-from blockloom.llm.storage import checkpointed, written
+from blockloom.llm.storage import checkpointed, frugal, written
 
 MAX_WORDS = 1 << 20
 LEAST_COUNT = 8
@@ -67,7 +67,7 @@ def frequent_words(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.
         if size:
             yield counted()
 
-    counts = checkpointed(docs.select(text).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = checkpointed(docs.select(text).mapInArrow(frugal(run), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     table = counts.where(F.col("n") >= max(LEAST_COUNT, -(-total // MAX_WORDS))).toArrow()
     words, n = (table.column(c).to_numpy() for c in ("word", "n"))
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], k: int, nu
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(alike, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), parity], names=[key, "n", "s1", "s2", "g", "prefix", "parity"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n bigint, s1 bigint, s2 bigint, g bigint, prefix array<bigint>, parity array<bigint>")
+    return docs.select(key, text).mapInArrow(frugal(run), f"`{key}` {kind}, n bigint, s1 bigint, s2 bigint, g bigint, prefix array<bigint>, parity array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -155,7 +155,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, key: str, text: str) -> DataF
             np.cumsum([len(t) for t in found], out=offsets[1:])
             yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))], names=["id", "tokens"])
 
-    return docs.select(key, text).mapInArrow(run, "id bigint, tokens array<bigint>")
+    return docs.select(key, text).mapInArrow(frugal(run), "id bigint, tokens array<bigint>")
 
 
 def _near(pa, pb, na, nb, num: int, den: int):
@@ -206,7 +206,7 @@ def _postings(groups: DataFrame) -> DataFrame:
             rows, tokens, pos = rows[keep], tokens[keep], (np.arange(len(tokens)) - (offsets - offsets[0])[rows])[keep]
             yield pa.RecordBatch.from_arrays([pa.array(tokens), batch.column("gid").take(pa.array(rows)), batch.column("n").take(pa.array(rows)).cast(pa.int32()), pa.array(pos.astype(np.int32))], names=["token", "gid", "n", "pos"])
 
-    found = groups.select("gid", "n", "prefix").mapInArrow(run, "token bigint, gid bigint, n int, pos int")
+    found = groups.select("gid", "n", "prefix").mapInArrow(frugal(run), "token bigint, gid bigint, n int, pos int")
     return checkpointed(lookup_join(found, heads.withColumn("__c", F.col("c")), "token", "c").withColumnRenamed("__c", "c"))
 
 

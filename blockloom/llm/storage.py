@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +62,31 @@ def delete_folder(spark: SparkSession, uri: str) -> None:
 def process_cache() -> dict:
     """A dict that lives as long as the Python process; functions pickled by value have no lasting globals."""
     return vars(sys).setdefault("_blockloom_process_cache", {})
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system; Arrow's pool and glibc would keep most of it, of large arrays too."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator], keep_cache: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches in Python workers, which stay for other tasks and wait beside the JVM's own: after a task what it freed
+    is given back. Without ``keep_cache`` the process cache, which other operators filled, goes before the task."""
+
+    def task(batches: Iterator) -> Iterator:
+        if not keep_cache and (known := process_cache()):
+            known.clear()
+            gc.collect()
+            _give_back()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task

@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import re
+import sys
+import weakref
 import zlib
 from collections import Counter
 
@@ -207,6 +209,28 @@ def test_token_store_takes_one_python_process_a_task(spark, tmp_path):
     assert {r["doc_id"]: r["ids_crc32"] for r in sums.collect()} == {i: zlib.crc32(np.frombuffer(b, np.uint16).astype("<u4").tobytes()) for i, b in ids.items()}
 
 
+def test_workers_keep_no_other_operators_caches(spark, monkeypatch):
+    import pyarrow as pa
+
+    tasks, docs = [], frame(spark, ["a b c d e f"])
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: tasks.append(run) or plain(self, run, schema))
+    monkeypatch.setattr(sys, "_blockloom_process_cache", {}, raising=False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([0], pa.int64()), "text": ["a b c d e f"]})
+    bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    encode = tasks.pop()
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    benchmark = spark.createDataFrame([(1, "q w e r t y")], "item_id bigint, text string")
+    others = [(["text"], lambda: jaccard.frequent_words(docs)), (["doc_id", "text"], lambda: jaccard.signatures(docs, none, 5, 80, 100)), (["doc_id", "text"], lambda: decontaminate.without_contaminated(docs, benchmark))]
+    for columns, other in others:
+        ids = [x["token_ids"].to_pylist() for x in encode(iter([batch]))]
+        codec = weakref.ref(bpe.Codec.get(RANKS, public_tokenizers.PATTERN))
+        assert [x["token_ids"].to_pylist() for x in encode(iter([batch]))] == ids and codec() is bpe.Codec.get(RANKS, public_tokenizers.PATTERN)
+        tasks.clear()
+        other()
+        assert list(tasks[0](iter([batch.select(columns)]))) and codec() is None
+
+
 def brute_components(texts, k, num, den):
     sets = []
     for t in texts:
