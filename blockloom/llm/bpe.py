@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from blockloom.llm.pieces import PieceEncoder, list_array
-from blockloom.llm.storage import frugal, process_cache
+from blockloom.llm.storage import frugal, give_back, process_cache
 
 #: Texts of one Arrow batch are handled so many bytes at a time, or one by one.
 PART_BYTES = 4 << 20
@@ -85,6 +85,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
                 ids = codec.encode([t or "" for t in part.column(text).to_pylist()])
                 counts = pa.array([len(b) // 4 for b in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), list_array(ids), counts], names=[*kept, "token_ids", "n_tokens"])
+                del ids
+                give_back()
 
     return df.mapInArrow(frugal(run, keep_cache=True), schema)
 

@@ -64,7 +64,7 @@ def process_cache() -> dict:
     return vars(sys).setdefault("_blockloom_process_cache", {})
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory goes back to the system; Arrow's pool and glibc would keep most of it, of large arrays too."""
     import ctypes
 
@@ -83,10 +83,10 @@ def frugal(run: Callable[[Iterator], Iterator], keep_cache: bool = False) -> Cal
         if not keep_cache and (known := process_cache()):
             known.clear()
             gc.collect()
-            _give_back()
+            give_back()
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return task
